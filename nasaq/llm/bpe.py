@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .frames import add_columns, pick
+from .frames import add_columns, pick, unclash
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Resolved pre-tokens that a worker remembers; then it starts afresh.
@@ -179,7 +179,8 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
     """``docs`` with ``ids`` (array<int>) of each whole text; a null text has no ids.
 
     Narrow: no shuffle.  Special tokens are ordinary text.  Empty texts give an
-    empty array, repeated rows are encoded each, other columns stay as they are.
+    empty array, repeated rows are encoded each, other columns stay, but
+    for those whose names clash.
     """
     path, split = path or vocabulary_path(), split or pattern()
 
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
         off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)))]
 
-    return add_columns(docs, [T.StructField("ids", T.ArrayType(T.IntegerType()))], make, ["text"])
+    return add_columns(unclash(docs, ["text"], ["ids"]), [T.StructField("ids", T.ArrayType(T.IntegerType()))], make, ["text"])
 
 
 def decode(rows: DataFrame, path: str | None = None, split: str | None = None) -> DataFrame:
@@ -200,7 +201,7 @@ def decode(rows: DataFrame, path: str | None = None, split: str | None = None) -
         e = encoder(path, split)
         return [pa.array([e.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(0).to_pylist()], pa.binary())]
 
-    return add_columns(rows, [T.StructField("decoded", T.BinaryType())], make, ["ids"])
+    return add_columns(unclash(rows, ["ids"], ["decoded"]), [T.StructField("decoded", T.BinaryType())], make, ["ids"])
 
 
 def round_trip(docs: DataFrame, path: str | None = None, split: str | None = None) -> DataFrame:

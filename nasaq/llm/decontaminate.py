@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import add_columns, pick, text_bytes
+from .frames import add_columns, pick, text_bytes, unclash
 from .words import shingles, word_hashes
 
 WIDTH = 5
@@ -118,14 +118,14 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
     An item is in a document if at least ``threshold`` of its distinct word
     shingles are.  An item of fewer than ``width`` words is one shingle of all
     its words; one without words is in no document.  A null or empty document
-    holds nothing.  Repeated rows are judged each; equal item ids are one.
+    holds nothing.  Other columns stay, but for those whose names clash.  Repeated rows are judged each; equal item ids are one.
 
     The index of the items is broadcast behind a check of their size; a larger
     benchmark is taken in slices, each a further narrow pass over the documents.
     """
     sc = docs.sparkSession.sparkContext
     it, n = _slices(pick(items, "item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL"), max_bytes)
-    out = docs
+    docs = out = unclash(docs, ["text"], ["item_ids", "containment"])
     for k in range(n):
         index = sc.broadcast(Index([(int(r[0]), r[1]) for r in it.where(F.col("slice") == k).select("item_id", "text").collect()], width, threshold))
 

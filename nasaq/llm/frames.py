@@ -32,6 +32,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names)])
 
 
+def unclash(df: DataFrame, reads: list[str], adds: list[str] = ()) -> DataFrame:
+    """``df`` without extra columns whose names, ignoring case, clash with one read or added, or with each other."""
+    have, taken, keep = df.columns, {n.lower() for n in (*reads, *adds)}, []
+    own = {have.index(n) for n in reads}
+    for i, n in enumerate(have):
+        if i in own or n.lower() not in taken:
+            keep.append(i)
+            taken.add(n.lower())
+    if len(keep) == len(have):
+        return df
+    plain = df.toDF(*[f"_c{i}" for i in range(len(have))])
+    return plain.select(*[F.col(f"_c{i}").alias(have[i]) for i in keep])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or one of our own where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)

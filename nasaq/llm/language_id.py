@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import add_columns, pick, text_bytes
+from .frames import add_columns, pick, text_bytes, unclash
 from .words import LOWER
 
 BITS = 15
@@ -172,7 +172,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     ``und`` with score 0 if the text is null or has no letter, or nothing was
     learned.  A text with a letter but no trigram gets the commonest language
     at score 1/languages.  Equal proportions go to the language that sorts
-    first.  Only the text decides; whole texts are read; repeats agree.
+    first.  Only the text decides; whole texts are read; repeats agree.  Other columns stay, but for those
+    whose names clash.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # languages x FEATURES numbers
@@ -205,4 +206,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_mix", T.MapType(T.StringType(), T.DoubleType()))]
-    return add_columns(docs, fields, make, ["text"])
+    return add_columns(unclash(docs, ["text"], [f.name for f in fields]), fields, make, ["text"])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pick, stage
+from .frames import pick, stage, unclash
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -181,7 +181,9 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     """``docs`` with personal data in ``text`` generalised or removed; n_chars, where there is one, follows the text.
 
     Rows without a span keep their text; null texts stay null.
+    Other columns stay, but for those whose names clash.
     """
+    docs = unclash(docs, ["doc_id", "text"])
     hit = find(docs, disclosure, support).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"])
     hit = stage(hit.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans"), "pii-spans")
     joined = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["_h"]), "left")

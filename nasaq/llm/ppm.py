@@ -2,8 +2,8 @@
 
 The model is a trie of byte contexts up to ORDER bytes.  A symbol is coded in
 its longest known context or escapes to the next shorter one; escapes are
-estimated by method C (distinct symbols over symbols seen plus distinct), and a
-symbol that a longer context could have coded is excluded below it.
+estimated by method D (half a count of each distinct symbol), and a symbol that
+a longer context could have coded is excluded below it.
 
 The trie is a set of Spark tables keyed by the bytes of context and symbol
 packed in a long, so it grows with the corpus and is never gathered in one
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .frames import pick, stage
 from .words import word_hashes
 
-ORDER = 4
+ORDER = 5
 #: Text in one chunk, in bytes; a longer document is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 SLAB = 2 << 20
 END = b"\n"
 _END_WORD = np.uint64(0x0E0D0C0B0A090807)
@@ -188,7 +188,7 @@ def code_lengths(grams: DataFrame) -> DataFrame:
         up = (zero(f"x{j + 1}"), zero(f"q{j + 1}")) if j < ORDER else (F.lit(0.0), F.lit(0.0))
         t, q = zero(f"t{j}") - up[0], zero(f"q{j}") - up[1]
         seen = zero(f"n{j}") > 0
-        step = F.when(seen, F.log10(zero(f"n{j}") / (t + q))).when(q > 0, F.log10(q / (t + q))).otherwise(0.0)
+        step = F.when(seen, F.log10((zero(f"n{j}") - 0.5) / t)).when(q > 0, F.log10(0.5 * q / t)).otherwise(0.0)
         lp = lp + F.when(done, 0.0).otherwise(step)
         done = done | seen
     lp = lp + F.when(done, 0.0).otherwise(-F.log10(F.greatest(F.lit(256.0) - zero("q0"), F.lit(1.0))))
