@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nasaq.llm import bpe, decontaminate, language_id, near_dedup, pii
-from nasaq.llm.frames import _STAGED, crc_bucket, shared_dir
+from nasaq.llm.frames import _STAGED, crc_bucket, shared_dir, unclash
 
 #: A document whose language has less than this share of it is rejected.
 LANGUAGE_SHARE = 0.5
@@ -20,6 +20,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The model learns from documents with a ``lang`` (all but one crc32 class of
     four, as op2 does); ``lang`` is no input of the decision.
     """
+    docs = unclash(docs, ["doc_id", "text", "lang"])
     model = language_id.train(docs.where(crc_bucket("doc_id", 4) != 2))
     seen = language_id.predict(docs, model)
     return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
@@ -27,12 +28,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near copies (five-word shingles, Jaccard 0.8)."""
+    docs = unclash(docs, ["doc_id", "text"])
     gone = near_dedup.groups(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item; those that contain one go."""
+    docs = unclash(docs, ["doc_id", "text"])
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.find_items(docs, items).where(F.size("item_ids") == 0).select(*docs.columns)
 
