@@ -7,13 +7,17 @@ full sets confirms links.  Components of the links are the groups.
 
 * Texts with the same set are one class; only class representatives go on.
 * A list's key is several retained values at once: the values are dealt into
-  bins, and a key holds the smallest values of BAND bins.  So words that many
-  documents share don't make long lists.  Small sets use prefix lists instead,
-  which lose nothing: similar sets share one of their few smallest values.
-* A long list gives star pairs (each member with one hub) first; all other
-  pairs are formed only between members that aren't connected yet.  A group of
-  n near copies thus costs about n pairs, not n * n, and no link between
-  groups is lost.
+  bins, and a key holds the smallest values of BAND bins.  Small sets use prefix
+  lists instead: similar sets share at least two of their few smallest values.
+* Each list first gives star pairs, each member with one hub; the hub is the
+  member whose lists hold most others, as a group's original does.  All other
+  pairs are formed only between members that aren't connected by then.
+* Members of a list of over HOT that isn't connected meet only where they share
+  two such lists: a new list for each pair of them.  Similar sets share two
+  lists of all, so a common value makes no long list and no link is lost.
+  What lies in long lists even so meets by its rarest shingles, exactly.
+* A signature of one bit per bin goes with a list's members and keeps far pairs
+  from being formed at all.
 """
 
 from __future__ import annotations
@@ -36,7 +40,12 @@ K = 256
 ESTIMATE = 96
 #: A pair goes on when its estimate is no more than this below the threshold (over six standard deviations).
 MARGIN = 0.25
-BINS, BAND = 60, 3
+BINS, BAND = 72, 3
+#: Members of a list that meet in it directly.
+HOT = 32
+#: Bits of a signature; at a similarity of 0.8, 13 differ on average, with a deviation of 3.4.
+BITS = 128
+AGREE_DEVIATIONS = 6.8
 #: Up to SMALL shingles a set has prefix lists; from OVERLAP on it has bin lists; in between, both.
 SMALL, OVERLAP = 80, 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -44,19 +53,21 @@ _U = np.uint64
 
 
 def list_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the inverted lists for a sorted set of shingle hashes."""
+    """Keys of the inverted lists for a sorted set of shingle hashes.
+
+    Similar sets share two keys at least: small sets surely, others with a
+    probability of over 1 - 1e-6.  Sets that can only be similar to an equal
+    one have no key.
+    """
     n, keys = len(s), []
-    if not n:
+    need = -(-percent * n // 100)
+    if need < 2 or 100 * n < percent * (n + 1):
         return np.zeros(0, np.int64)
     if n <= SMALL:
-        need = -(-percent * n // 100)
-        keys.append(mix(s[: n - need + 1] ^ _U(0x51)))
+        keys.append(mix(s[: n - need + 2] ^ _U(0x51)))
     if n >= OVERLAP:
         kept = s[:K]
-        bins = np.full(BINS, _EMPTY, _U)
-        b = (mix(kept) % _U(BINS)).astype(np.int64)
-        bins[b[::-1]] = kept[::-1]  # ascending, so the smallest is written last
-        g = bins.reshape(BINS // BAND, BAND)
+        g = _bins(kept, BINS, 0).reshape(BINS // BAND, BAND)
         with np.errstate(over="ignore"):
             h = np.arange(1, len(g) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
             for j in range(BAND):
@@ -65,7 +76,22 @@ def list_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, sig binary, keys array<long>, sketch binary"
+def _bins(kept: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """The smallest of the ascending values that fall into each of n bins."""
+    bins = np.full(n, _EMPTY, _U)
+    bins[(mix(kept ^ _U(salt)) % _U(n)).astype(np.int64)[::-1]] = kept[::-1]  # the smallest is written last
+    return bins
+
+
+def bit_signature(s: np.ndarray) -> tuple[int, int]:
+    """One bit of the smallest retained value of each bin; an empty bin has 0."""
+    g = _bins(s[:K], BITS, 0x7F)
+    bit = np.where(g == _EMPTY, _U(0), mix(g) & _U(1)).astype(np.uint8)
+    a, b = np.packbits(bit).view(np.int64)
+    return int(a), int(b)
+
+
+_SKETCH = "doc_id long, n_shingles long, sig binary, keys array<long>, sketch binary, b0 long, b1 long"
 
 
 def _sketches(width: int, percent: int):
@@ -73,17 +99,18 @@ def _sketches(width: int, percent: int):
         for b in batches:
             x, o = text_bytes(b.column(1))
             h, wo = word_hashes(x, o)
-            n, sig, keys, sketch = [], [], [], []
+            n, sig, keys, sketch, bits = [], [], [], [], []
             for sh in text_shingles(h, wo, width):
                 s = np.unique(sh)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(list_keys(s, percent))
                 sketch.append(s[:ESTIMATE].tobytes())
+                bits.append(bit_signature(s))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig", "keys", "sketch"])
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sketch, pa.binary()), *(pa.array([x[i] for x in bits], pa.int64()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig", "keys", "sketch", "b0", "b1"])
 
     return run
 
@@ -147,8 +174,48 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, pe
     return stage(full.mapInArrow(_exact(percent), "a long, b long"), f"{name}-links")
 
 
-def _fits(percent: int) -> "F.Column":
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+def _alike(percent: int) -> "F.Column":
+    """Whether sizes and signatures of a and b leave room for a link."""
+    size = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    apart = F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))
+    return size & (apart <= _most_apart(percent))
+
+
+def _most_apart(percent: int) -> int:
+    """Bits that may differ: the mean of similar sets and nearly seven deviations."""
+    p = (1 - percent / 100) / 2
+    return int(BITS * p + (AGREE_DEVIATIONS * (BITS * p * (1 - p)) ** 0.5) + 0.5)
+
+
+def _values(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, o = text_bytes(b.column(1))
+            h, wo = word_hashes(x, o)
+            for i, sh in zip(b.column(0).to_pylist(), text_shingles(h, wo, width)):
+                s = np.unique(sh).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], names=["v_id", "v"])
+
+    return run
+
+
+def _rare_lists(dense: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Lists (key, a, c) over the rarest shingles of sets in dense lists.
+
+    Of n shingles at most n - need are missing from a similar set, so the
+    n - need + 1 rarest hold one that it has.  Shingles of one set alone count
+    among them: a copy with many changes of its own has no list at all.
+    """
+    ids = stage(dense.select(F.col("a.id").alias("id")).distinct(), "near-dense-ids")
+    own = texts.join(F.broadcast(ids) if ids.count() <= _FEW_IDS else ids, texts.doc_id == ids.id, "left_semi")
+    values = stage(own.mapInArrow(_values(width), "v_id long, v long").distinct(), "near-values")
+    often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
+    shared = values.join(often, "v").groupBy("v_id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s"))
+    full = dense.join(shared, F.col("a.id") == F.col("v_id"))
+    least = F.ceil(F.lit(percent / 100) * F.col("a.n") - 1e-9)
+    slots = (F.col("a.n") - least + 1 - (F.col("a.n") - F.size("s"))).cast("int")
+    kept = full.where(slots > 0).select("a", "c", F.explode(F.slice("s", 1, slots)).alias("x"))
+    return kept.select(F.xxhash64(F.col("x.v"), F.lit("rare")).alias("key"), "a", "c")
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -165,22 +232,42 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     every = stage(texts.mapInArrow(_sketches(width, percent), _SKETCH), "near-sketches")
     classes = stage(every.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "near-classes")
     joined = every.where("sig IS NOT NULL").join(classes.withColumnRenamed("sig", "csig"), (F.col("sig") == F.col("csig")) & (F.col("doc_id") == F.col("rep")))
-    reps = stage(joined.select("doc_id", "sig", "n_shingles", "keys", "sketch").dropDuplicates(["doc_id", "sig"]), "near-reps")
-
-    lists = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    # a hub common to a group's lists: the member with the smallest hash
-    hubs = lists.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("hub"), F.col("n").alias("hn"))).alias("h")).where("m > 1")
-    members = stage(lists.join(hubs, "key").select("key", F.col("doc_id").alias("id"), "n", "h.hub", "h.hn"), "near-lists")
-
-    star = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), F.col("n").alias("na"), F.col("hn").alias("nb")).where(_fits(percent)).select("a", "b").distinct()
+    reps = stage(joined.select("doc_id", "sig", "n_shingles", "keys", "sketch", "b0", "b1").dropDuplicates(["doc_id", "sig"]), "near-reps")
+
+    one = F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "b0", "b1")
+    lists = reps.select(F.explode("keys").alias("key"), one.alias("a"))
+    sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    lists = stage(lists.join(sizes, "key"), "near-lists")
+    weight = lists.groupBy(F.col("a.id").alias("w_id")).agg(F.sum("m").alias("w"))
+    # the member whose lists hold most, ties to the smaller id: one hub for all of a group's lists
+    weighed = lists.join(weight, F.col("a.id") == F.col("w_id"))
+    hubs = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), "a")).alias("h")).select("key", F.col("h.a").alias("b"))
+    star = lists.join(hubs, "key").where((F.col("a.id") != F.col("b.id")) & _alike(percent))
+    star = stage(star.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "near-star")
     links = _confirm(star, reps, texts, width, percent, "near-star")
     first = connected_components(links)
 
-    comp = members.join(first.select(F.col("id").alias("cid"), "component"), F.col("id") == F.col("cid"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    comp = lists.join(first.select(F.col("id").alias("cid"), "component"), F.col("a.id") == F.col("cid"), "left").select("key", "a", "m", F.coalesce("component", "a.id").alias("c"))
     mixed = comp.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = stage(comp.join(mixed, "key"), "near-mixed")
-    left, right = (rest.select("key", F.col("id").alias(i), F.col("n").alias(n), F.col("c").alias(c)) for i, n, c in (("a", "na", "ca"), ("b", "nb", "cb")))
-    cross = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _fits(percent)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    short = rest.where(F.col("m") <= HOT).select("key", "a", "c")
+    hot = rest.where(F.col("m") > HOT).groupBy("a", "c").agg(F.array_sort(F.collect_list("key")).alias("k")).where(F.size("k") > 1)
+    first_of, second_of = F.posexplode("k").alias("i", "k1"), F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("k2")
+    twice = hot.select("a", "c", "k", first_of).where(F.col("i") + 1 < F.size("k")).select("a", "c", "k1", second_of).select(F.xxhash64("k1", "k2").alias("key"), "a", "c")
+    length = twice.groupBy("key").agg(F.count("*").alias("m"))
+    twice = stage(twice.join(length.where("m > 1"), "key"), "near-twice")
+    dense = stage(twice.where(F.col("m") > HOT).select("a", "c").distinct(), "near-dense")
+    rare = _rare_lists(dense, texts, width, percent)
+    met = short.union(twice.where(F.col("m") <= HOT).select("key", "a", "c"))
+    in_dense = dense.select(F.col("a.id").alias("d_id")).distinct()
+    met = met.join(in_dense, F.col("a.id") == F.col("d_id"), "left").select("key", "a", "c", F.col("d_id").isNotNull().alias("d"))
+    meet = met.union(rare.withColumn("d", F.lit(False)))
+    many = meet.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    meet = stage(meet.join(many, "key"), "near-meet")
+    left, right = meet.select("key", "a", F.col("c").alias("ca"), F.col("d").alias("da")), meet.select("key", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"))
+    # two sets of dense lists meet by their rarest shingles alone
+    cross = left.join(right, (left["key"] == right["key"]) & (F.col("a.id") < F.col("b.id")) & ~(F.col("da") & F.col("db")) & (F.col("ca") != F.col("cb")) & _alike(percent))
+    cross = cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = _confirm(cross, reps, texts, width, percent, "near-cross")
 
     comps = connected_components(first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

@@ -34,8 +34,6 @@ TERM_LETTERS = 4
 SUPPORT = 3
 #: Share of the entity's information content that a term may disclose.
 DISCLOSURE = 0.9
-#: So many distinct terms are broadcast to count them; more are joined by a shuffle.
-FEW_TERMS = 200_000
 
 _SPAN = "struct<kind:int,s:int,e:int,v:string>"
 
@@ -124,14 +122,9 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
     of_entity = pairs.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     together = pairs.select("doc_id", "h", "entity", F.explode("terms").alias("t")).select("doc_id", "h", "entity", F.col("t.v").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     together = stage(together, "pii-together")
-    terms = stage(together.select("term").distinct(), "pii-terms")
-    few = terms.count() <= FEW_TERMS
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-    spread = pick(docs, "text").select(F.explode(words).alias("term"))
-    if few:  # count only what is asked for
-        n_term = spread.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        n_term = spread.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+    # counted before they are joined: a term that half the corpus has is one row
+    n_term = pick(docs, "text").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     t = together.join(of_entity, "entity").join(n_term, "term")
     pmi = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))

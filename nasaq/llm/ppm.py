@@ -28,7 +28,7 @@ from .words import word_hashes
 ORDER = 5
 #: Text in one chunk, in bytes; a longer document is a chunk of its own.
 CHUNK = 32 << 20
-SLAB = 2 << 20
+SLAB = 1 << 19
 END = b"\n"
 _END_WORD = np.uint64(0x0E0D0C0B0A090807)
 _SCHEMA = "chunk long, kind int, key long, n long, blob binary"
@@ -75,7 +75,7 @@ class _Counter:
         u, inv = np.unique(keys, return_inverse=True)
         self.parts.append((u, np.bincount(inv, weights=weight, minlength=len(u)).astype(np.int64)))
         self.rows += len(u)
-        if self.rows > 4_000_000:
+        if self.rows > 1_500_000:
             self.parts = [self.total()]
             self.rows = len(self.parts[0][0])
 
@@ -202,12 +202,17 @@ def _scorer(total: int, distinct: int):
     names = [c.split()[0] for c in _OUT.split(", ")]
 
     def score(texts: pa.Table, values: pa.Table) -> pa.Table:
-        kind, key, val = (values[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("kind", "key", "val"))
         side = []
-        for k in (1, 2):
-            at = np.flatnonzero(kind == k)
-            by = at[np.argsort(key[at])]
-            side.append((key[by], val[by]))
+        for k in (1, 2):  # batch by batch, so that the table isn't copied whole
+            keys, vals = [], []
+            for b in values.to_batches():
+                own = b.column("kind").to_numpy() == k
+                keys.append(b.column("key").to_numpy()[own])
+                vals.append(b.column("val").to_numpy()[own])
+            keys, vals = (np.concatenate(z) if z else np.zeros(0) for z in (keys, vals))
+            by = np.argsort(keys)
+            side.append((keys[by], vals[by]))
+        del values, keys, vals, by
         (gk, gv), (wk, wv) = side
         base = np.log10((wv + 1) / (total + distinct + 1))
         cols: list[list] = [[] for _ in names]
@@ -242,12 +247,15 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     d = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     rows = stage(d.mapInArrow(_chunks, _SCHEMA), "ppm-chunks")
-    keyed = rows.where("kind > 0").select("chunk", "kind", "key", "n")
-    counts = stage(keyed.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
-    words = counts.where("kind = 2")
+    # a key comes once from each chunk that has it; it goes back to those chunks
+    counts = rows.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks"))
+    counts = stage(counts, "ppm-counts")
+    words, grams = counts.where("kind = 2"), counts.where("kind = 1")
     total, distinct = words.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
-    lp = code_lengths(counts.where("kind = 1").select("key", "n")).select(F.lit(1).alias("kind"), "key", F.col("lp").alias("val"))
-    values = lp.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("val")))
-    asked = keyed.select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "val")
+    # single precision halves what goes back; a probability keeps seven digits
+    lp = code_lengths(grams.select("key", "n")).select(F.col("key").alias("k"), F.col("lp").cast("float").cast("double").alias("val"))
+    of_grams = grams.join(lp, grams.key == lp.k).select("kind", "key", "val", "chunks")
+    of_words = words.select("kind", "key", F.col("n").cast("double").alias("val"), "chunks")
+    asked = of_grams.union(of_words).select(F.explode("chunks").alias("chunk"), "kind", "key", "val")
     texts = rows.where("kind = 0").select(F.col("chunk").alias("c"), "blob")
     return texts.groupBy("c").cogroup(asked.groupBy("chunk")).applyInArrow(_scorer(int(total or 0), int(distinct or 0)), _OUT)
