@@ -124,12 +124,12 @@ def mapped_key_column(text: Column, p: Profile) -> Column:
 
 
 def explain_column(text: Column, profile: str = "search", languages: str = "ar") -> Column:
-    """struct<key, rules> of each text."""
+    """struct<key, rules> of each text, however long."""
     kind = T.StructType([T.StructField("key", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType()))])
 
     @F.pandas_udf(kind)
     def explained(texts: pd.Series) -> pd.DataFrame:
-        rows = [explain(t, profile, languages) if t is not None else (None, None) for t in texts]
+        rows = [explain(t, profile, languages, None) if t is not None else (None, None) for t in texts]
         return pd.DataFrame({"key": [r[0] for r in rows], "rules": [r[1] for r in rows]})
 
     return explained(text)

@@ -11,10 +11,10 @@ MAX_BYTES = 32 * 1024
 _NAMED = (("presentation forms", "presentation"), ("tashkil",) * 2, ("tatweel",) * 2, ("alef hamza", "alef_hamza"), ("alef wasla", "alef_wasla"), ("hamza seat", "hamza_seat"), ("ta marbuta", "ta_marbuta"), ("alef maksura", "alef_maksura"), ("joiners",) * 2, ("bidi controls", "bidi"), ("digits",) * 2, ("punctuation",) * 2, ("Quranic marks", "quranic"), ("rasm",) * 2)
 
 
-def explain(text: str, profile: str = "search", languages: str = "ar") -> tuple[str, list[str]]:
+def explain(text: str, profile: str = "search", languages: str = "ar", most: int | None = MAX_BYTES) -> tuple[str, list[str]]:
     """(key, rules): a rule is listed if the key changes when it alone is off."""
-    if len(text.encode("utf-8")) > MAX_BYTES:
-        raise ValueError("text is over 32 KiB")
+    if most is not None and len(text.encode("utf-8")) > most:
+        raise ValueError(f"text is over {most} bytes")
     p = resolve(profile, languages)
     key = normalize(p, text)
     rules = ["Unicode NFD"] if nfd(text) != text else []

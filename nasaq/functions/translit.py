@@ -29,8 +29,7 @@ def parse_scheme(name: str) -> str:
 
 @lru_cache(None)
 def _scheme(scheme: str) -> tuple[re.Pattern, dict[str, str], dict[str, str]]:
-    letters, tokens = _TOKENS[parse_scheme(scheme)]
-    pairs = list(zip(letters, tokens.split(" "), strict=True))
+    pairs = token_pairs(scheme)
     to_arabic: dict[str, str] = {}
     for a, l in pairs:
         to_arabic.setdefault(l, a)
@@ -38,6 +37,12 @@ def _scheme(scheme: str) -> tuple[re.Pattern, dict[str, str], dict[str, str]]:
     return re.compile("|".join(map(re.escape, longest))), to_arabic, dict(pairs)
 
 
+def token_pairs(scheme: str) -> list[tuple[str, str]]:
+    """(Arabic letter, Latin token) of a scheme, in the table's order."""
+    letters, tokens = _TOKENS[parse_scheme(scheme)]
+    return list(zip(letters, tokens.split(" "), strict=True))
+
+
 def from_latin(text: str, scheme: str = "buckwalter") -> str:
     """Latin tokens, longest first, as Arabic letters; the rest stays."""
     find, to_arabic, _ = _scheme(scheme)

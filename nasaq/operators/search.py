@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from .matchers import Matcher
 from .prefilter import can_match, must_match
 from .spans import SPANS, matches_column, spans_column
 
+#: Key bytes of the patterns that are broadcast at once.
+MAX_PATTERN_BYTES = 32 << 20
+
 
 def match_column(text: Column, m: Matcher, mode: str = "auto", prefilter: bool = True) -> Column:
     """Whether a text matches, in the JVM as far as it goes.
@@ -96,22 +102,81 @@ def first_selected(df: DataFrame, m: Matcher, *, text: str = "text", keys: list[
     return s.groupBy(*keys).agg(F.min(line).alias(line))
 
 
-def pattern_join(patterns: DataFrame, texts: DataFrame, *, pattern_key: str, text_key: str, max_rows: int = 100_000) -> DataFrame:
-    """(text_key, pattern_key) where a text's key contains a pattern's key.
+def pattern_join(patterns: DataFrame, texts: DataFrame, *, pattern_key: str, text_key: str, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """(text_key, pattern_key) where a text's key contains a pattern's key; each pair once per row of ``texts``.
 
-    ``patterns`` and ``texts`` have a column ``key`` each.  The patterns are
-    broadcast behind a check of their number; more of them go in slices.
+    ``patterns`` and ``texts`` have a column ``key`` each.  An Aho-Corasick
+    automaton finds all patterns in one pass over each text, so no pair is
+    formed that isn't in the result.  Patterns go out only while their keys
+    take no more than ``max_bytes``; more of them go in slices, a narrow pass each.
     """
-    n = patterns.count()
-    slices = max(1, -(-n // max_rows))
-    p = patterns.select(pattern_key, F.col("key").alias("_p"), F.pmod(F.xxhash64(pattern_key), F.lit(slices)).alias("_s")).where("_p <> ''")
+    spark = texts.sparkSession
+    ship(spark)
+    p = patterns.select(F.col(pattern_key).alias("id"), F.col("key").alias("key")).where("id IS NOT NULL AND key <> ''")
+    slices = max(1, -(-(p.agg(F.sum(F.octet_length("key"))).first()[0] or 0) // max_bytes))
+    kinds = [df.select(c).schema[0].dataType.simpleString() for df, c in ((texts, text_key), (patterns, pattern_key))]
     out = None
     for k in range(slices):
-        part = texts.join(F.broadcast(p.where(F.col("_s") == k)), F.contains("key", F.col("_p"))).select(text_key, pattern_key)
+        own = p.where(F.pmod(F.xxhash64("id", "key"), F.lit(slices)) == k)
+        shared = spark.sparkContext.broadcast([(r.id, r.key) for r in own.collect()])  # of a checked size
+        part = texts.select(F.col(text_key).alias(text_key), F.col("key").alias("key")).mapInArrow(_finder(shared, text_key, pattern_key), f"`{text_key}` {kinds[0]}, `{pattern_key}` {kinds[1]}")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _finder(shared, text_key: str, pattern_key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids: dict[str, list] = {}
+        for i, key in shared.value:
+            ids.setdefault(key, []).append(i)
+        find = ahocorasick.Automaton()
+        for key, own in ids.items():
+            find.add_word(key, own)
+        find.make_automaton()
+        kind = pa.array([i for i, _ in shared.value]).type
+        for b in batches:
+            at, found = [], []
+            for row, text in enumerate(b.column(1).to_pylist() if ids else []):
+                if text:
+                    hits = {id(own): own for _, own in find.iter(text)}
+                    own = list(dict.fromkeys(i for o in hits.values() for i in o))
+                    at += [row] * len(own)
+                    found += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(found, kind)], names=[text_key, pattern_key])
+
+    return run
+
+
+def first_faults(lines: DataFrame, keys: list[str], max_line_bytes: int = 0, *, text: str = "text", line: str = "line") -> DataFrame:
+    """(keys..., line, error) of each input's first line that is over-long or no valid UTF-8; inputs without one have no row.
+
+    Both faults are judged in the JVM, and one minimum per input is aggregated.
+    """
+    col = F.col(text)
+    error = F.when(~F.is_valid_utf8(col), F.lit("invalid UTF-8"))
+    if max_line_bytes:
+        error = F.when(F.octet_length(col) > max_line_bytes, F.lit(f"over {max_line_bytes} bytes")).otherwise(error)
+    bad = lines.select(*keys, F.struct(F.col(line).alias("line"), error.alias("error")).alias("_f")).where("_f.error IS NOT NULL")
+    return bad.groupBy(*keys).agg(F.min("_f").alias("_f")).select(*keys, F.col("_f.line").alias(line), F.col("_f.error").alias("error"))
+
+
+def until_fault(lines: DataFrame, faults: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
+    """``lines`` before their input's first fault; ``faults`` has a row per faulty input at most."""
+    f = faults.select(*keys, F.col(line).alias("_bad"))
+    return lines.join(f, keys, "left").where(F.col("_bad").isNull() | (F.col(line) < F.col("_bad"))).drop("_bad")
+
+
+def status(selected: DataFrame, faults: DataFrame | None = None) -> DataFrame:
+    """(selected, status) of a whole search: 0 if a line is selected, 1 if none is, 2 if an input failed."""
+    rows = selected.select(F.when(F.col("selected"), 1).otherwise(0).alias("s"), F.lit(0).alias("b"))
+    if faults is not None:
+        rows = rows.union(faults.select(F.lit(0), F.lit(1)))
+    n = rows.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("selected"), F.coalesce(F.max("b"), F.lit(0)).alias("bad"))
+    return n.select("selected", F.when(F.col("bad") > 0, 2).when(F.col("selected") > 0, 0).otherwise(1).alias("status"))
+
+
 def lines_before_errors(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines of inputs, without the rows that only carry an error."""
     return lines.where("error IS NULL").drop("error").withColumn("line", F.col("line").cast("long")).select(*keys, "line", "text")

@@ -5,6 +5,11 @@ from __future__ import annotations
 import codecs
 import unicodedata
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 SAMPLE = 64 * 1024
 _NAMES = {"": "utf8", "utf8": "utf8", "utf-8": "utf8", "cp1256": "cp1256", "windows-1256": "cp1256", "iso-8859-6": "iso-8859-6", "iso8859-6": "iso-8859-6", "utf16le": "utf16le", "utf-16le": "utf16le", "utf16be": "utf16be", "utf-16be": "utf16be", "auto": "auto"}
 _CODECS = {"cp1256": "cp1256", "iso-8859-6": "iso8859-6", "utf16le": "utf-16-le", "utf16be": "utf-16-be"}
@@ -88,3 +93,17 @@ def to_utf8(data: bytes, encoding: str) -> tuple[bytes, str]:
     if used == "utf8":
         return data.removeprefix(b"\xef\xbb\xbf").decode("utf-8", errors="replace").encode("utf-8"), used
     return decode_as(data, used).encode("utf-8", errors="replace"), used
+
+
+def decode_column(content: Column, encoding: str = "auto") -> Column:
+    """struct<text, encoding> of a binary column; null content stays null."""
+    encoding = parse_encoding(encoding)
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def decoded(contents: pa.Array) -> pa.Array:
+        rows = [None if c is None else to_utf8(c, encoding) for c in contents.to_pylist()]
+        texts = [None if r is None else r[0].decode("utf-8", errors="replace") for r in rows]
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array([None if r is None else r[1] for r in rows], pa.string())], names=["text", "encoding"])
+
+    return decoded(content)
