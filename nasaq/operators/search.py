@@ -37,6 +37,16 @@ def match_column(text: Column, m: Matcher, mode: str = "auto", prefilter: bool =
     return hit if must is None else must | hit
 
 
+def candidates(texts: DataFrame, m: Matcher, text: str = "text") -> DataFrame:
+    """Rows of whole texts of which a line can match, for searches that aren't inverted.
+
+    Only ``contains`` on the raw column: it reaches the Parquet reader, and texts
+    without a match aren't split into lines.  Without a proof all rows stay.
+    """
+    may = can_match(F.col(text), m)
+    return texts if may is None else texts.where(may)
+
+
 def select_lines(lines: DataFrame, m: Matcher, *, text: str = "text", invert: bool = False, word: bool = False, spans: bool = False, mode: str = "auto", prefilter: bool = True) -> DataFrame:
     """``lines`` with ``selected`` and ``spans``; spans are mapped only where they are asked for.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.profile import PROFILES, Profile, resolve
 from ..operators import search as S
-from ..operators.matchers import Fuzzy, Literal, Regex
+from ..operators.matchers import Fuzzy, Literal, Matcher, Regex
 from ..operators.spans import highlight_column, only_matching_column, transliterate_match
 from ..shipping import ship
 from ..sources.decode import decode_column
@@ -32,9 +32,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_lines(_docs(spark, sf_dir))
 
 
-def _arabic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' lines in Arabic letters, by Buckwalter's letters."""
-    return _lines(spark, sf_dir).withColumn("text", C.from_latin_column(F.col("text")))
+def _arabic(spark: SparkSession, sf_dir: str, m: Matcher | None = None) -> DataFrame:
+    """The documents' lines in Arabic letters, by Buckwalter's letters; only of texts that can match, if ``m`` is given."""
+    d = _docs(spark, sf_dir).withColumn("text", C.from_latin_column(F.col("text")))
+    return split_lines(d if m is None else S.candidates(d, m))
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +192,8 @@ def t2_to_iso233(spark, sf_dir):
 
 def t7_translit_matches(spark, sf_dir):
     """Matches in Arabic letters, shown in Latin ones with their spans moved along."""
-    s = S.search(_arabic(spark, sf_dir), _literal("نت"), spans=True).withColumn("t", transliterate_match(F.col("text"), F.col("spans")))
+    m = _literal("نت")
+    s = S.search(_arabic(spark, sf_dir, m), m, spans=True).withColumn("t", transliterate_match(F.col("text"), F.col("spans")))
     return s.select(*DOC, F.col("t.text").alias("text"), _span_text(F.col("t.spans")).alias("spans"))
 
 
@@ -216,7 +218,8 @@ def m1_any_of(spark, sf_dir):
 
 
 def m1_arabic_prefiltered(spark, sf_dir):
-    return _found(_arabic(spark, sf_dir), _literal("خَطْقْ", "نَتْن"))
+    m = _literal("خَطْقْ", "نَتْن")
+    return _found(_arabic(spark, sf_dir, m), m)
 
 
 def m1_conversations(spark, sf_dir):
@@ -230,7 +233,8 @@ def m3_literal_spans(spark, sf_dir):
 
 
 def m3_any_of_spans(spark, sf_dir):
-    return _found_spans(_arabic(spark, sf_dir), _literal("نت"))
+    m = _literal("نت")
+    return _found_spans(_arabic(spark, sf_dir, m), m)
 
 
 def m4_ignore_case(spark, sf_dir):
@@ -291,7 +295,8 @@ def a1_count_per_document(spark, sf_dir):
 
 
 def a1_count_arabic(spark, sf_dir):
-    return S.count_selected(_arabic(spark, sf_dir), _literal("نت"), _inputs(spark, sf_dir))
+    m = _literal("نت")
+    return S.count_selected(_arabic(spark, sf_dir, m), m, _inputs(spark, sf_dir))
 
 
 def a2_documents_with(spark, sf_dir):

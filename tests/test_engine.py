@@ -376,6 +376,12 @@ def test_prefilter_changes_nothing_and_reaches_the_scan(spark, tmp_path):
         m = Literal((q,), P)
         want = sorted(i for i, _, t in rows if m.matches(normalize(P, t)))
         assert sorted(r.doc_id for r in S.search(df, m).collect()) == want == sorted(r.doc_id for r in S.select_lines(df, m, prefilter=False).where("selected").collect())
+    whole = spark.createDataFrame([(i, "\n".join(t for _, _, t in rows[i * 3 : i * 3 + 3])) for i in range(200)], "doc_id long, text string")
+    for q in ("لا", "ب", "كت"):
+        m = Literal((q,), P)
+        kept = S.candidates(whole, m)
+        assert S.search(split_lines(kept), m).exceptAll(S.search(split_lines(whole), m)).count() == 0 and S.search(split_lines(kept), m).count() == S.search(split_lines(whole), m).count()
+        assert q == "لا" or kept.count() < 200
     strict = Literal(("ب",), PROFILES["lucene"])
     plan = df.where(can_match(F.col("text"), strict))._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(text,ب)" in plan
