@@ -98,6 +98,22 @@ def _from_latin(scheme: str, text: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({text}, {_q(find)}), lambda t: coalesce({table}[t], t)), '')"
 
 
+_SKIPPED = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in "script style noscript svg template".split()) + "|<!--.*?-->"
+_BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
+
+
+def _html_text() -> str:
+    """By regular expressions; enough for pages whose tags are whole and whose entities are few."""
+    x = r"regexp_replace(html, '\s+', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?is){_SKIPPED}', ' ', 'g')"
+    x = rf"regexp_replace({x}, '(?i)</?({_BLOCKS})\b[^>]*>', chr(10), 'g')"
+    x = f"regexp_replace({x}, '</?[A-Za-z!][^>]*>', ' ', 'g')"
+    for a, b in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    rows = rf"list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), lambda l: l <> '')"
+    return f"SELECT page_id, array_to_string(list_transform({rows}, lambda l: l || chr(10)), '') AS text FROM pages WHERE html IS NOT NULL"
+
+
 _two = "translate({x}, 'كيةه', 'کیۀہ')".format(x=_BW)
 _languages = lambda **more: _fold(_two, _SEARCH | {k: v for k, v in more.items()}, _MARKS + _TATWEEL)
 _ZW, _BIDI, _QURANIC = {"ب": "ب‌‍"}, {"ن": "ن‏⁦"}, {"ر": "رۖۥ"}
@@ -111,6 +127,7 @@ ORACLE_SQL = {
     "w3_line_counts": f"WITH {_LINES} SELECT doc_id, max(line) AS n_lines FROM lines GROUP BY doc_id",
     "s10_decode_utf16": "SELECT doc_id, text, 'utf16le' AS encoding FROM documents WHERE text IS NOT NULL",
     "s11_detect_encoding": "SELECT doc_id, unnest(['utf16be', 'utf8']) AS encoding, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
+    "s14_html_text": _html_text(),
     "s19_line_limit": f"WITH {_LINES}, {_FAULT} SELECT doc_id, bad AS line, 'over 400 bytes' AS error FROM f",
     "a6_lines_before_fault": f"WITH {_LINES}, {_FAULT} SELECT doc_id, line, text FROM lines LEFT JOIN f USING (doc_id) WHERE bad IS NULL OR line < bad",
     "n1_key_latin": _lines(f"{_KEY} AS key"),

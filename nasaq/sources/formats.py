@@ -27,24 +27,33 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = []
         self.now: list[str] = []
+        self.node: list[str] = []  # the parser gives a text node in parts
         self.skip: list[str] = []
 
+    def end_node(self, *_):
+        self.now += "".join(self.node).split()
+        self.node = []
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = end_node
+
     def flush(self):
+        self.end_node()
         if self.now:
             self.lines.append(" ".join(self.now))
             self.now = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("br", "hr") or tag in _BLOCK:
-            self.flush()
+        self.handle_startendtag(tag, attrs)
         if tag in _SKIP and tag not in _VOID:
             self.skip.append(tag)
 
     def handle_startendtag(self, tag, attrs):
+        self.end_node()
         if tag in ("br", "hr") or tag in _BLOCK:
             self.flush()
 
     def handle_endtag(self, tag):
+        self.end_node()
         if tag in _BLOCK:
             self.flush()
         if tag in self.skip:
@@ -53,14 +62,21 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.skip:
-            self.now += data.split()
+            self.node.append(data)
+
+
+_UNFINISHED = re.compile(r"</?[A-Za-z]|<[!?]")
 
 
 def html_text(page: str) -> str:
-    """Lines of a page: blocks and breaks separate them, white space collapses, scripts and styles go."""
+    """Lines of a page: blocks and breaks separate them, white space collapses, scripts and styles go.
+
+    A tag or comment that the page's end cuts off is dropped.
+    """
     p = _Lines()
     p.feed(page)
-    p.close()
+    if not _UNFINISHED.match(p.rawdata):
+        p.close()
     p.flush()
     return "\n".join(p.lines) + "\n" if p.lines else ""
 

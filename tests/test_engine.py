@@ -489,6 +489,8 @@ def test_detection():
 def test_html_and_epub(spark, tmp_path):
     page = "<html><head><title>T</title><style>no</style></head><body><h1>عنوان</h1><p>هذه <b>مدينة</b>جميلة<br>x</p><script>no</script>&amp; tail</body></html>"
     assert formats.html_text(page) == "T\nعنوان\nهذه مدينة جميلة\nx\n& tail\n" and formats.html_text("") == ""
+    for raw, text in (("a<5 b &am c&amp", "a<5 b &am c&\n"), ("<p>x</p", "x\n"), ("x<b", "x\n"), ("x<!-- y", "x\n"), ("a<!-- - -->b", "a b\n"), ("a < b", "a < b\n"), ("<script>x", "")):
+        assert formats.html_text(raw) == text
     legacy = '<meta charset="windows-1256"><p>مدينة</p>'.encode("cp1256")
     assert formats.html_bytes_text(legacy) == "مدينة\n"
     book = tmp_path / "b.epub"
