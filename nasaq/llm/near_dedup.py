@@ -12,12 +12,11 @@ full sets confirms links.  Components of the links are the groups.
 * Each list first gives star pairs, each member with one hub; the hub is the
   member whose lists hold most others, as a group's original does.  All other
   pairs are formed only between members that aren't connected by then.
-* Members of a list of over HOT that isn't connected meet only where they share
-  two such lists: a new list for each pair of them.  Similar sets share two
-  lists of all, so a common value makes no long list and no link is lost.
-  What lies in long lists even so meets by its rarest shingles, exactly.
-* A signature of one bit per bin goes with a list's members and keeps far pairs
-  from being formed at all.
+* Members of a list of over HOT that isn't connected are compared with one hub
+  of it.  Those near the hub meet by the changes to it that they share, those
+  far from it by their rarest shingles (``_change_lists``); both are exact.
+* Signatures of a few bits, one per bin and parities, go with a list's members
+  and keep far pairs from being formed at all.
 """
 
 from __future__ import annotations
@@ -46,6 +45,10 @@ HOT = 32
 #: Bits of a signature; at a similarity of 0.8, 13 differ on average, with a deviation of 3.4.
 BITS = 128
 AGREE_DEVIATIONS = 6.8
+#: Bits of the parity signature.
+PARITY = 256
+#: Similarity to a hub, in percent, from which a set is near it.
+NEAR = 50
 #: Up to SMALL shingles a set has prefix lists; from OVERLAP on it has bin lists; in between, both.
 SMALL, OVERLAP = 80, 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -91,7 +94,14 @@ def bit_signature(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-_SKETCH = "doc_id long, n_shingles long, sig binary, keys array<long>, sketch binary, b0 long, b1 long"
+def parity_signature(s: np.ndarray) -> tuple[int, ...]:
+    """Parity of the number of shingles that fall to each of PARITY bits: two sets differ in no more bits than shingles."""
+    odd = np.bincount((mix(s ^ _U(0x2B)) % _U(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return tuple(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+
+
+_BITS = [f"b{i}" for i in range(BITS // 64)] + [f"p{i}" for i in range(PARITY // 64)]
+_SKETCH = "doc_id long, n_shingles long, sig binary, keys array<long>, sketch binary, " + ", ".join(f"{x} long" for x in _BITS)
 
 
 def _sketches(width: int, percent: int):
@@ -106,11 +116,11 @@ def _sketches(width: int, percent: int):
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(list_keys(s, percent))
                 sketch.append(s[:ESTIMATE].tobytes())
-                bits.append(bit_signature(s))
+                bits.append((*bit_signature(s), *parity_signature(s)))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sketch, pa.binary()), *(pa.array([x[i] for x in bits], pa.int64()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig", "keys", "sketch", "b0", "b1"])
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(sketch, pa.binary()), *(pa.array([x[i] for x in bits], pa.int64()) for i in range(len(_BITS)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig", "keys", "sketch", *_BITS])
 
     return run
 
@@ -175,10 +185,15 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, pe
 
 
 def _alike(percent: int) -> "F.Column":
-    """Whether sizes and signatures of a and b leave room for a link."""
+    """Whether sizes and signatures of a and b leave room for a link.
+
+    Of linked sets no more than (1 - t) / (1 + t) of both sizes differ, and no
+    fewer than the parities that do; this is exact, and tells most of small sets.
+    """
     size = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    apart = F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))) + F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1")))
-    return size & (apart <= _most_apart(percent))
+    apart = {k: sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in _BITS if x[0] == k), F.lit(0)) for k in "bp"}
+    parity = (100 + percent) * apart["p"] <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+    return size & parity & (apart["b"] <= _most_apart(percent))
 
 
 def _most_apart(percent: int) -> int:
@@ -187,35 +202,111 @@ def _most_apart(percent: int) -> int:
     return int(BITS * p + (AGREE_DEVIATIONS * (BITS * p * (1 - p)) ** 0.5) + 0.5)
 
 
-def _values(width: int):
+def _changes(percent: int):
+    """(h, id, nh, r, g, near, far, ch): what a set lacks of its hub's (r values) and has besides (g values); ch only of the near."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, o = text_bytes(b.column(1))
-            h, wo = word_hashes(x, o)
-            for i, sh in zip(b.column(0).to_pylist(), text_shingles(h, wo, width)):
-                s = np.unique(sh).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(s)], names=["v_id", "v"])
+            nh, r, g, near, ch = [], [], [], [], []
+            for sa, sh in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                a, h = np.frombuffer(sa, _U), np.frombuffer(sh, _U)
+                lacks, besides = np.setdiff1d(h, a, assume_unique=True), np.setdiff1d(a, h, assume_unique=True)
+                nh.append(len(h))
+                r.append(len(lacks))
+                g.append(len(besides))
+                near.append(100 * (len(h) - len(lacks)) >= (NEAR - 100 + percent) * (len(h) + len(besides)))
+                ch.append(np.concatenate([lacks, besides]).view(np.int64) if near[-1] else np.zeros(0, np.int64))
+            far = [100 * (n - x) < NEAR * (n + y) for n, x, y in zip(nh, r, g)]
+            off = np.concatenate([[0], np.cumsum([len(c) for c in ch])]).astype(np.int32)
+            cols = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (nh, r, g)), *(pa.array(x, pa.bool_()) for x in (near, far)), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ch) if ch else np.zeros(0, np.int64)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "nh", "r", "g", "near", "far", "ch"])
 
     return run
 
 
-def _rare_lists(dense: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Lists (key, a, c) over the rarest shingles of sets in dense lists.
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for h, i, s in zip(*(c.to_pylist() for c in b.columns)):
+            v = np.frombuffer(s, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), h, np.int64)), pa.array(np.full(len(v), i)), pa.array(v)], names=["h", "id", "v"])
+
+
+def _rarest(values: DataFrame, own: list[str]) -> DataFrame:
+    """(own..., s): the values that others have too, as (frequency, value), rarest first; ``values`` has own... and v, others those of the same h."""
+    often = values.groupBy("h", "v").agg(F.count("*").alias("f")).where("f > 1")
+    return values.join(often, ["h", "v"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s"))
+
+
+def _change_lists(long: DataFrame, weight: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(changed, rare, links, hubs) for long lists (key, a, c), each compared with one hub.
+
+    ``changed`` lists sets that are near a hub H.  Let r values of H be lacking
+    in a set and g be there besides, c = r + t * g, and B = (1 - t) * |H|.  The
+    set is linked with H when c <= B.  Sets x and y are linked when they have k
+    changes in common with (1 + t) * k >= c_x + c_y - B.  If both are linked
+    with H they are connected already; else say c_x > B: they share over
+    c_y / (1 + t) changes of y, and c_x - B of x.  So y is listed under so many
+    of its rarest changes, x under so many of its own, that such sets share a
+    list (the prefix filter).  Copies of one original that share no change make
+    no pair.
 
-    Of n shingles at most n - need are missing from a similar set, so the
-    n - need + 1 rarest hold one that it has.  Shingles of one set alone count
-    among them: a copy with many changes of its own has no list at all.
+    ``rare`` lists sets that are far from a hub under the n - need + 1 rarest
+    of their n shingles, one of which is in any similar set.  Similar sets are
+    both far, or both near with 1 - t to spare, as 1 - Jaccard is a metric.
     """
-    ids = stage(dense.select(F.col("a.id").alias("id")).distinct(), "near-dense-ids")
-    own = texts.join(F.broadcast(ids) if ids.count() <= _FEW_IDS else ids, texts.doc_id == ids.id, "left_semi")
-    values = stage(own.mapInArrow(_values(width), "v_id long, v long").distinct(), "near-values")
-    often = values.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    shared = values.join(often, "v").groupBy("v_id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s"))
-    full = dense.join(shared, F.col("a.id") == F.col("v_id"))
-    least = F.ceil(F.lit(percent / 100) * F.col("a.n") - 1e-9)
-    slots = (F.col("a.n") - least + 1 - (F.col("a.n") - F.size("s"))).cast("int")
-    kept = full.where(slots > 0).select("a", "c", F.explode(F.slice("s", 1, slots)).alias("x"))
-    return kept.select(F.xxhash64(F.col("x.v"), F.lit("rare")).alias("key"), "a", "c")
+    weighed = long.join(weight, F.col("a.id") == F.col("w_id"))
+    hub = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), F.col("a.id").alias("id"))).alias("h")).select("key", F.col("h.id").alias("h"))
+    own = stage(long.join(hub, "key").where(F.col("a.id") != F.col("h")).select("a", "c", "h").distinct(), "near-hubs")
+    ids = stage(own.select(F.col("a.id").alias("id")).union(own.select("h")).distinct(), "near-hub-ids")
+    some = texts.join(F.broadcast(ids) if ids.count() <= _FEW_IDS else ids, texts.doc_id == ids.id, "left_semi")
+    sets = stage(some.mapInArrow(_sets(width), "id long, s binary"), "near-hub-sets")
+    of_hub = sets.select(F.col("id").alias("h"), F.col("s").alias("sh"))
+    both = own.select(F.col("a.id").alias("id"), "h").join(sets, "id").join(of_hub, "h").select("h", "id", F.col("s").alias("sa"), "sh")
+    ch = stage(both.mapInArrow(_changes(percent), "h long, id long, nh long, r long, g long, near boolean, far boolean, ch array<long>"), "near-changes")
+    cost, room = 100 * F.col("r") + percent * F.col("g"), (100 - percent) * F.col("nh")
+    links = ch.where(cost <= room).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
+
+    near = ch.where("near")
+    shared = _rarest(near.select("h", "id", F.explode("ch").alias("v")), ["h", "id"])
+    alone = F.size("ch") - F.size("s")  # changes of one set alone count among its rarest
+    as_y = F.size("ch") - F.floor(cost / (100 + percent)) - alone
+    as_x = F.when(cost > room, F.size("ch") - F.greatest(F.lit(1), F.ceil((cost - room) / 100)) + 1 - alone).otherwise(0)
+    slots = near.join(shared, ["h", "id"]).select("h", "id", "s", as_x.cast("int").alias("nx"), as_y.cast("int").alias("ny")).where("nx > 0 OR ny > 0")
+    kept = slots.select("h", "id", "nx", "ny", F.posexplode(F.slice("s", 1, F.greatest("nx", "ny"))).alias("i", "x"))
+    kept = kept.select("h", "id", F.xxhash64("h", F.col("x.v")).alias("key"), (F.col("i") < F.col("nx")).alias("x"), (F.col("i") < F.col("ny")).alias("y"))
+    of = own.select(F.col("h").alias("h2"), F.col("a.id").alias("id2"), "a", "c")
+    changed = kept.join(of, (F.col("h") == F.col("h2")) & (F.col("id") == F.col("id2"))).select("key", "a", "c", "x", "y")
+
+    far = ch.where("far").select(F.col("id").alias("far_id")).distinct()
+    far = own.select("a", "c").distinct().join(far, F.col("a.id") == F.col("far_id")).select("a", "c", "far_id")
+    values = sets.join(far.select("far_id"), F.col("id") == F.col("far_id")).select(F.lit(0).alias("h"), "id", "s").mapInArrow(_values, "h long, id long, v long")
+    shared = _rarest(values, ["id"])
+    least = F.floor((percent * F.col("a.n") + 99) / 100)
+    slots = (F.size("s") - least + 1).cast("int")
+    rare = shared.join(far, F.col("id") == F.col("far_id")).select("a", "c", F.explode(F.slice("s", 1, F.greatest(slots, F.lit(0)))).alias("x"))
+    rare = rare.select(F.xxhash64(F.col("x.v"), F.lit("rare")).alias("key"), "a", "c", F.lit(True).alias("x"), F.lit(True).alias("y"))
+    return changed, rare, links, ch.select(F.col("id").alias("h_id"), "h", "near")
+
+
+def _mixed(lists: DataFrame, name: str) -> DataFrame:
+    """Lists of more than one component in which a pair can be formed, with their length m."""
+    many = lists.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.max("x").alias("some_x"), F.max("y").alias("some_y")).where("lo <> hi AND some_x AND some_y").select("key", "m")
+    return stage(lists.join(many, "key"), name)
+
+
+def _pairs(lists: DataFrame, hubs: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list; sets with a common hub in ``hubs`` meet by their changes instead."""
+    none = F.array().cast("array<long>")
+    if hubs is None:
+        lists = lists.withColumn("hs", none)
+    else:
+        of = hubs.groupBy("h_id").agg(F.collect_set("h").alias("hs"))
+        lists = lists.join(of, F.col("a.id") == F.col("h_id"), "left").withColumn("hs", F.coalesce("hs", none)).drop("h_id")
+    left = lists.select("key", "a", F.col("c").alias("ca"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("hs").alias("ha"))
+    right = lists.select("key", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("hs").alias("hb"))
+    role = (F.col("xa") & F.col("yb")) | (F.col("ya") & F.col("xb"))
+    meet = left.join(right, (left["key"] == right["key"]) & (F.col("a.id") < F.col("b.id")) & (F.col("ca") != F.col("cb")) & role & _alike(percent) & ~F.arrays_overlap("ha", "hb"))
+    return meet.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -232,9 +323,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     every = stage(texts.mapInArrow(_sketches(width, percent), _SKETCH), "near-sketches")
     classes = stage(every.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "near-classes")
     joined = every.where("sig IS NOT NULL").join(classes.withColumnRenamed("sig", "csig"), (F.col("sig") == F.col("csig")) & (F.col("doc_id") == F.col("rep")))
-    reps = stage(joined.select("doc_id", "sig", "n_shingles", "keys", "sketch", "b0", "b1").dropDuplicates(["doc_id", "sig"]), "near-reps")
+    reps = stage(joined.select("doc_id", "sig", "n_shingles", "keys", "sketch", *_BITS).dropDuplicates(["doc_id", "sig"]), "near-reps")
 
-    one = F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "b0", "b1")
+    one = F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS)
     lists = reps.select(F.explode("keys").alias("key"), one.alias("a"))
     sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = stage(lists.join(sizes, "key"), "near-lists")
@@ -249,26 +340,16 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     comp = lists.join(first.select(F.col("id").alias("cid"), "component"), F.col("a.id") == F.col("cid"), "left").select("key", "a", "m", F.coalesce("component", "a.id").alias("c"))
     mixed = comp.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = stage(comp.join(mixed, "key"), "near-mixed")
-    short = rest.where(F.col("m") <= HOT).select("key", "a", "c")
-    hot = rest.where(F.col("m") > HOT).groupBy("a", "c").agg(F.array_sort(F.collect_list("key")).alias("k")).where(F.size("k") > 1)
-    first_of, second_of = F.posexplode("k").alias("i", "k1"), F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("k2")
-    twice = hot.select("a", "c", "k", first_of).where(F.col("i") + 1 < F.size("k")).select("a", "c", "k1", second_of).select(F.xxhash64("k1", "k2").alias("key"), "a", "c")
-    length = twice.groupBy("key").agg(F.count("*").alias("m"))
-    twice = stage(twice.join(length.where("m > 1"), "key"), "near-twice")
-    dense = stage(twice.where(F.col("m") > HOT).select("a", "c").distinct(), "near-dense")
-    rare = _rare_lists(dense, texts, width, percent)
-    met = short.union(twice.where(F.col("m") <= HOT).select("key", "a", "c"))
-    in_dense = dense.select(F.col("a.id").alias("d_id")).distinct()
-    met = met.join(in_dense, F.col("a.id") == F.col("d_id"), "left").select("key", "a", "c", F.col("d_id").isNotNull().alias("d"))
-    meet = met.union(rare.withColumn("d", F.lit(False)))
-    many = meet.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    meet = stage(meet.join(many, "key"), "near-meet")
-    left, right = meet.select("key", "a", F.col("c").alias("ca"), F.col("d").alias("da")), meet.select("key", F.col("a").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"))
-    # two sets of dense lists meet by their rarest shingles alone
-    cross = left.join(right, (left["key"] == right["key"]) & (F.col("a.id") < F.col("b.id")) & ~(F.col("da") & F.col("db")) & (F.col("ca") != F.col("cb")) & _alike(percent))
-    cross = cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(cross, reps, texts, width, percent, "near-cross")
+    rest = stage(comp.join(mixed, "key"), "near-rest")
+    changed, rare, hub_links, hubs = _change_lists(rest.where(F.col("m") > HOT).select("key", "a", "c"), weight, texts, width, percent)
+    hub_links = stage(hub_links.distinct(), "near-hub-links")
+    yes = F.lit(True)
+    short = rest.where(F.col("m") <= HOT).select("key", "a", "c", yes.alias("x"), yes.alias("y"))
+    cross = _pairs(short, hubs, percent)
+    cross = cross.union(_pairs(_mixed(changed, "near-changed"), None, percent))
+    cross = cross.union(_pairs(_mixed(rare, "near-rare"), hubs.where("near"), percent)).distinct()
+    cross = cross.join(star, ["a", "b"], "left_anti").join(hub_links, ["a", "b"], "left_anti")
+    more = _confirm(cross, reps, texts, width, percent, "near-cross").union(hub_links)
 
     comps = connected_components(first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     of = classes.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("sig").alias("csig"), F.coalesce("component", "rep").alias("component_id"))

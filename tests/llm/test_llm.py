@@ -273,8 +273,9 @@ def slow_groups(texts, width, percent):
     return [root(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_dedup_by_brute_force(spark, width):
+@pytest.mark.parametrize("width,hot", [(2, near_dedup.HOT), (5, near_dedup.HOT), (2, 2), (5, 2)])
+def test_near_dedup_by_brute_force(spark, monkeypatch, width, hot):
+    monkeypatch.setattr(near_dedup, "HOT", hot)  # at 2 all that isn't settled by stars meets by changes to a hub
     rng = random.Random(width)
     texts = list(ODD)
     for size in (3, 6, 12, 60, 79, 90, 130, 400):
