@@ -11,11 +11,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch: with long texts, Spark's own 10,000 rows fill a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_ROWS, _BYTES, _SPARKS_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "10000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once per application."""
+    """Add the package to the session's Python files, once per application, and bound Arrow batches unless they are set."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS, _SPARKS_ROWS) == _SPARKS_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)
+        spark.conf.set(_BYTES, BATCH_BYTES)
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
