@@ -47,8 +47,8 @@ BITS = 128
 AGREE_DEVIATIONS = 6.8
 #: Bits of the parity signature.
 PARITY = 256
-#: Similarity to a hub, in percent, from which a set is near it.
-NEAR = 50
+#: Similarity to a hub, in percent, below which a set is far from it; it decides the route, not the result.
+NEAR = 70
 #: Up to SMALL shingles a set has prefix lists; from OVERLAP on it has bin lists; in between, both.
 SMALL, OVERLAP = 80, 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -262,7 +262,7 @@ def _change_lists(long: DataFrame, weight: DataFrame, texts: DataFrame, width: i
     sets = stage(some.mapInArrow(_sets(width), "id long, s binary"), "near-hub-sets")
     of_hub = sets.select(F.col("id").alias("h"), F.col("s").alias("sh"))
     both = own.select(F.col("a.id").alias("id"), "h").join(sets, "id").join(of_hub, "h").select("h", "id", F.col("s").alias("sa"), "sh")
-    ch = stage(both.mapInArrow(_changes(percent), "h long, id long, nh long, r long, g long, near boolean, far boolean, ch array<long>"), "near-changes")
+    ch = stage(both.mapInArrow(_changes(percent), "h long, id long, nh long, r long, g long, near boolean, far boolean, ch array<long>").repartition("h", "id"), "near-changes")
     cost, room = 100 * F.col("r") + percent * F.col("g"), (100 - percent) * F.col("nh")
     links = ch.where(cost <= room).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
 
