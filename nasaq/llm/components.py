@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import stage
+from .frames import discard, stage
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stage(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "components")
+        last, e = e, stage(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), "components")
+        discard(last)
         after = _mark(e)
         if after == before:
             break

@@ -83,7 +83,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/nasaq/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; what is made of them must be written by then."""
+    for df in staged:
+        drop(df.sparkSession, df._staged_at)
+        _STAGED.remove((df.sparkSession, df._staged_at))
 
 
 def add_columns(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import pick, stage, text_bytes
+from .frames import discard, pick, stage, text_bytes
 from .words import mix, text_shingles, word_hashes
 
 #: Retained values: the bottom K of the hash over a document's shingles.
@@ -181,7 +181,9 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, pe
     sets = stage(own.mapInArrow(_sets(width), "id long, s binary"), f"{name}-sets")
     half = near.join(sets, near.a == sets.id).select("a", "b", F.col("s").alias("x"))
     full = half.join(sets, half.b == sets.id).select("a", "b", "x", F.col("s").alias("y"))
-    return stage(full.mapInArrow(_exact(percent), "a long, b long"), f"{name}-links")
+    links = stage(full.mapInArrow(_exact(percent), "a long, b long"), f"{name}-links")
+    discard(near, ids, sets)
+    return links
 
 
 def _alike(percent: int) -> "F.Column":
@@ -237,8 +239,8 @@ def _rarest(values: DataFrame, own: list[str]) -> DataFrame:
     return values.join(often, ["h", "v"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s"))
 
 
-def _change_lists(long: DataFrame, weight: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(changed, rare, links, hubs) for long lists (key, a, c), each compared with one hub.
+def _change_lists(long: DataFrame, weight: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(changed, rare, links, hubs, the staged tables they read) for long lists (key, a, c), each compared with one hub.
 
     ``changed`` lists sets that are near a hub H.  Let r values of H be lacking
     in a set and g be there besides, c = r + t * g, and B = (1 - t) * |H|.  The
@@ -285,7 +287,7 @@ def _change_lists(long: DataFrame, weight: DataFrame, texts: DataFrame, width: i
     slots = (F.size("s") - least + 1).cast("int")
     rare = shared.join(far, F.col("id") == F.col("far_id")).select("a", "c", F.explode(F.slice("s", 1, F.greatest(slots, F.lit(0)))).alias("x"))
     rare = rare.select(F.xxhash64(F.col("x.v"), F.lit("rare")).alias("key"), "a", "c", F.lit(True).alias("x"), F.lit(True).alias("y"))
-    return changed, rare, links, ch.select(F.col("id").alias("h_id"), "h", "near")
+    return changed, rare, links, ch.select(F.col("id").alias("h_id"), "h", "near"), [own, ids, sets, ch]
 
 
 def _mixed(lists: DataFrame, name: str) -> DataFrame:
@@ -341,15 +343,17 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     comp = lists.join(first.select(F.col("id").alias("cid"), "component"), F.col("a.id") == F.col("cid"), "left").select("key", "a", "m", F.coalesce("component", "a.id").alias("c"))
     mixed = comp.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = stage(comp.join(mixed, "key"), "near-rest")
-    changed, rare, hub_links, hubs = _change_lists(rest.where(F.col("m") > HOT).select("key", "a", "c"), weight, texts, width, percent)
+    changed, rare, hub_links, hubs, used = _change_lists(rest.where(F.col("m") > HOT).select("key", "a", "c"), weight, texts, width, percent)
     hub_links = stage(hub_links.distinct(), "near-hub-links")
     yes = F.lit(True)
     short = rest.where(F.col("m") <= HOT).select("key", "a", "c", yes.alias("x"), yes.alias("y"))
     cross = _pairs(short, hubs, percent)
-    cross = cross.union(_pairs(_mixed(changed, "near-changed"), None, percent))
-    cross = cross.union(_pairs(_mixed(rare, "near-rare"), hubs.where("near"), percent)).distinct()
+    changed, rare = _mixed(changed, "near-changed"), _mixed(rare, "near-rare")
+    cross = cross.union(_pairs(changed, None, percent))
+    cross = cross.union(_pairs(rare, hubs.where("near"), percent)).distinct()
     cross = cross.join(star, ["a", "b"], "left_anti").join(hub_links, ["a", "b"], "left_anti")
     more = _confirm(cross, reps, texts, width, percent, "near-cross").union(hub_links)
+    discard(*used, changed, rare, rest, lists, star, reps)
 
     comps = connected_components(first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     of = classes.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("sig").alias("csig"), F.coalesce("component", "rep").alias("component_id"))
