@@ -35,6 +35,9 @@ SUPPORT = 3
 #: Share of the entity's information content that a term may disclose.
 DISCLOSURE = 0.9
 
+#: Bytes of spans that are broadcast to the texts; more are joined by a shuffle.
+FEW_BYTES = 16 << 20
+
 _SPAN = "struct<kind:int,s:int,e:int,v:string>"
 
 
@@ -179,6 +182,9 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     docs = unclash(docs, ["doc_id", "text"])
     hit = find(docs, disclosure, support).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"])
     hit = stage(hit.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans"), "pii-spans")
+    size = F.expr("aggregate(spans, 64L, (n, x) -> n + 64 + octet_length(x.v))")
+    few = (hit.agg(F.sum(size)).first()[0] or 0) <= FEW_BYTES
+    hit = F.broadcast(hit) if few else hit
     joined = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["_h"]), "left")
     new = F.when(hit["spans"].isNotNull(), redact(docs["text"], hit["spans"])).otherwise(docs["text"])
     out = joined.select(*(docs[c] for c in docs.columns if c != "text"), new.alias("text")).select(*docs.columns)

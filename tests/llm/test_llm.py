@@ -371,7 +371,9 @@ def test_pii_base_by_brute_force(spark, docs):
         assert r.spans.startswith(joined)
 
 
-def test_pii_terms_and_redaction(spark):
+@pytest.mark.parametrize("few", [pii.FEW_BYTES, -1])
+def test_pii_terms_and_redaction(spark, monkeypatch, few):
+    monkeypatch.setattr(pii, "FEW_BYTES", few)  # broadcast, or shuffled
     texts = ["Write to Zebulon Quartermaine at zq@mail.example.com today please"] * 4 + ["nothing to see here today please"] * 200 + [None, ""]
     df = frame(spark, texts)
     rows = {r.doc_id: r.text for r in pii.sanitise(clash(df)).collect()}
