@@ -30,8 +30,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CONTEXT_WORDS, CONTEXT_CHARS = 5, 120
 #: Letters that a term has at least.
 TERM_LETTERS = 4
-#: Documents in which term and entity are together, at least.
-SUPPORT = 3
 #: Share of the entity's information content that a term may disclose.
 DISCLOSURE = 0.9
 
@@ -115,15 +113,16 @@ def _found(docs: DataFrame) -> DataFrame:
     return stage(d.select("doc_id", "h", "base", F.when(F.size("base") > 0, near).otherwise(none).alias("near")), "pii-found")
 
 
-def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term) whose pointwise mutual information reaches ``disclosure`` of the entity's information content.
 
-    Frequencies count documents of the whole corpus.
+    Frequencies count documents of the whole corpus.  No pair is too rare: personal
+    data are mostly in one document.
     """
     total = found.count()
     pairs = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", F.col("x.entity").alias("entity"), F.col("x.terms").alias("terms"))
     of_entity = pairs.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    together = pairs.select("doc_id", "h", "entity", F.explode("terms").alias("t")).select("doc_id", "h", "entity", F.col("t.v").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    together = pairs.select("doc_id", "h", "entity", F.explode("terms").alias("t")).select("doc_id", "h", "entity", F.col("t.v").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     together = stage(together, "pii-together")
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
     # counted before they are joined: a term that half the corpus has is one row
@@ -134,14 +133,14 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
     return t.where((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, h, spans): all spans of each row, base kinds first, then disclosing terms near their entity.
 
     ``h`` is xxhash64 of the text, which tells rows that share a doc_id apart.
     Null texts count as empty and have no span.
     """
     found = _found(docs)
-    reveal = stage(disclosing(docs, found, disclosure, support), "pii-disclosing")
+    reveal = stage(disclosing(docs, found, disclosure), "pii-disclosing")
     near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", F.col("x.entity").alias("entity"), F.explode("x.terms").alias("t")).withColumn("term", F.col("t.v"))
     own = near.join(reveal, ["entity", "term"], "left_semi").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("t")).alias("terms"))
     own = own.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "terms")
@@ -173,14 +172,14 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with personal data in ``text`` generalised or removed; n_chars, where there is one, follows the text.
 
     Rows without a span keep their text; null texts stay null.
     Other columns stay, but for those whose names clash.
     """
     docs = unclash(docs, ["doc_id", "text"])
-    hit = find(docs, disclosure, support).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"])
+    hit = find(docs, disclosure).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"])
     hit = stage(hit.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans"), "pii-spans")
     size = F.expr("aggregate(spans, 64L, (n, x) -> n + 64 + octet_length(x.v))")
     few = (hit.agg(F.sum(size)).first()[0] or 0) <= FEW_BYTES

@@ -384,6 +384,12 @@ def test_pii_terms_and_redaction(spark, monkeypatch, few):
     assert pii.report(frame(spark, [])).count() == 0
 
 
+def test_pii_entity_of_one_document(spark):
+    texts = ["Write to Zebulon Quartermaine at zq@mail.example.com today please"] + ["nothing to see here today please"] * 200
+    rows = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert rows[0] == "<TERM> to <TERM> <TERM> at <EMAIL> today please" and rows[1] == texts[1]
+
+
 def test_pii_plan_is_native(spark, docs):
     plan = pii.find(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
