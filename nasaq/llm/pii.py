@@ -1,9 +1,10 @@
 """Sanitising personal data by what the corpus discloses, in Spark expressions only.
 
 Protected entities are e-mail and IP addresses, card and phone numbers.  A term
-near an entity discloses it as far as their co-occurrence in the corpus says:
-the pointwise mutual information of term and entity, as a share of the entity's
-information content.  A term over the threshold is removed with the entity.
+discloses an entity as far as the documents say that have both, wherever they
+stand: the pointwise mutual information of term and entity, as a share of the
+entity's information content.  A term over the threshold is removed wherever it
+occurs.
 
 Java matches a repeated group recursively; every pattern here repeats only
 character classes, or groups possessively or within bounds, so that no text
@@ -12,7 +13,7 @@ overflows the stack, and none is tried anew at each character of a run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import pick, stage, unclash
@@ -26,14 +27,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Words on either side of an entity that are taken for its context, in a window of so many characters.
-CONTEXT_WORDS, CONTEXT_CHARS = 5, 120
 #: Letters that a term has at least.
 TERM_LETTERS = 4
 #: Share of the entity's information content that a term may disclose.
 DISCLOSURE = 0.9
 
-#: Bytes of spans that are broadcast to the texts; more are joined by a shuffle.
+#: Bytes of terms or spans that are broadcast to the texts; more are joined by a shuffle.
 FEW_BYTES = 16 << 20
 
 _SPAN = "struct<kind:int,s:int,e:int,v:string>"
@@ -87,65 +86,98 @@ def _entity(x: Column) -> Column:
     return F.concat(x["kind"].cast("string"), F.lit(":"), plain)
 
 
-def _context(text: Column, x: Column) -> Column:
-    """Terms around a span: (kind of term, start, end, lower-cased word)."""
-    k = KINDS.index("term")
-    lo = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
-    before = _matches(F.substring(text, lo + 1, x["s"] - lo), r"\p{L}++", k)
-    before = F.filter(before, lambda w: (w["s"] > 0) | (lo == 0))  # the window may cut its first word
-    before = F.transform(before, lambda w: F.struct(w["kind"].alias("kind"), (w["s"] + lo).alias("s"), (w["e"] + lo).alias("e"), F.lower(w["v"]).alias("v")))
-    room = F.lit(CONTEXT_CHARS)
-    after = _matches(F.substring(text, x["e"] + 1, room), r"\p{L}++", k)
-    after = F.filter(after, lambda w: (w["e"] < room) | (x["e"] + room >= F.char_length(text)))
-    after = F.transform(after, lambda w: F.struct(w["kind"].alias("kind"), (w["s"] + x["e"]).alias("s"), (w["e"] + x["e"]).alias("e"), F.lower(w["v"]).alias("v")))
-    # by their place, not by the window's order
-    left = F.slice(F.reverse(F.array_sort(before)), 1, CONTEXT_WORDS)
-    both = F.concat(left, F.slice(after, 1, CONTEXT_WORDS))
-    return F.filter(both, lambda w: F.char_length(w["v"]) >= TERM_LETTERS)
+def _words(text: Column) -> Column:
+    """Distinct lower-cased words that may be terms."""
+    long = F.filter(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.char_length(w) >= TERM_LETTERS)
+    return F.array_distinct(F.transform(long, F.lower))
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, base, near): base spans, and per base span its entity with the terms around; h is the text's hash."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): h is the text's hash; null texts are empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = pick(docs, "doc_id", "text").select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text", base_spans(F.col("text")).alias("base"))
-    near = F.transform("base", lambda x: F.struct(_entity(x).alias("entity"), _context(F.col("text"), x).alias("terms")))
-    none = F.array().cast(f"array<struct<entity:string,terms:array<{_SPAN}>>>")
-    return stage(d.select("doc_id", "h", "base", F.when(F.size("base") > 0, near).otherwise(none).alias("near")), "pii-found")
+    return pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, base, entities, words): base spans, and for texts that have one their distinct entities and words."""
+    d = _texts(docs).select("doc_id", "h", "text", base_spans(F.col("text")).alias("base"))
+    any_base, none = F.size("base") > 0, F.array().cast("array<string>")
+    entities = F.when(any_base, F.array_distinct(F.transform("base", _entity))).otherwise(none)
+    words = F.when(any_base, _words(F.col("text"))).otherwise(none)
+    return stage(d.select("doc_id", "h", "base", entities.alias("entities"), words.alias("words")), "pii-found")
+
+
+def _few(df: DataFrame, size: str) -> DataFrame:
+    """``df``, broadcast where it is joined if it is small; ``size`` is SQL for the bytes of a row."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(size))).first()[0] or 0) <= FEW_BYTES else df
+
+
+def _set_of_texts() -> Column:
+    """Names the set of texts in a group, by sums of halves of two hashes, which can't overflow."""
+    h = F.col("h")
+    return F.struct(*(F.sum(half).alias(f"s{i}") for i, half in enumerate(y for x in (h, F.xxhash64(h)) for y in (F.shiftright(x, 32), x.bitwiseAND(0xFFFFFFFF)))))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) whose pointwise mutual information reaches ``disclosure`` of the entity's information content.
+    """Each ``term`` whose pointwise mutual information with an entity reaches ``disclosure`` of the entity's information content.
 
     Frequencies count documents of the whole corpus.  No pair is too rare: personal
-    data are mostly in one document.
+    data are mostly in one document.  Entities of the same texts are counted as
+    one, and so are terms.
     """
-    total = found.count()
-    pairs = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", F.col("x.entity").alias("entity"), F.col("x.terms").alias("terms"))
-    of_entity = pairs.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    together = pairs.select("doc_id", "h", "entity", F.explode("terms").alias("t")).select("doc_id", "h", "entity", F.col("t.v").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    together = stage(together, "pii-together")
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
+    total = float(max(found.count(), 1))
+    of_h = found.where(F.size("base") > 0).select("h", F.explode("entities").alias("entity")).groupBy("h", "entity").agg(F.count("*").alias("m"))
+    of_h = stage(of_h, "pii-entities")
+    of_entity = of_h.groupBy("entity").agg(F.sum("m").alias("n_entity"), _set_of_texts().alias("e_set")).where(F.col("n_entity") < total)
+    # a term's n_both is at most n_entity, so more documents than these can't reach the threshold
+    most = F.pow("n_entity", F.lit(disclosure)) * total ** (1 - disclosure) * (1 + 1e-9)
+    entities = stage(of_h.join(of_entity, "entity").select("h", "m", "n_entity", "e_set", most.alias("most")).distinct(), "pii-entity-sets")
+    bound = entities.agg(F.max("most")).first()[0] or 0.0
+
     # counted before they are joined: a term that half the corpus has is one row
-    n_term = pick(docs, "text").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    t = together.join(of_entity, "entity").join(n_term, "term")
-    pmi = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    return t.where((content > 0) & (pmi >= disclosure * content)).select("entity", "term")
+    n_term = _texts(docs).select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= bound)
+    in_h = found.where(F.size("base") > 0).select("h", F.explode("words").alias("term")).distinct()
+    of_term = stage(in_h.groupBy("term").agg(_set_of_texts().alias("t_set")).join(n_term, "term"), "pii-terms")
+    terms = in_h.join(of_term, "term").select("h", "n_term", "t_set").distinct()
+
+    together = entities.join(terms, "h").where(F.col("n_term") <= F.col("most"))
+    together = together.groupBy("e_set", "n_entity", "t_set", "n_term").agg(F.sum("m").alias("n_both"))
+    pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
+    content = F.log2(F.lit(total) / F.col("n_entity"))
+    reached = together.where(pmi >= disclosure * content).select("t_set", "n_term").distinct()
+    return of_term.join(reached, ["t_set", "n_term"], "left_semi").select("term")
+
+
+def _occurrences(docs: DataFrame, reveal: DataFrame) -> DataFrame:
+    """(h, terms): spans of all occurrences of the terms, in order, for each distinct text that has one."""
+    reveal = _few(reveal, "64L + octet_length(term)")
+    hit = _texts(docs).select("h", F.explode(_words(F.col("text"))).alias("term")).join(reveal, "term", "left_semi").select("h").distinct()
+    hit = _few(stage(hit, "pii-hit"), "64L")
+    texts = _texts(docs).join(hit, "h", "left_semi").select("h", "text").dropDuplicates(["h"])
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}++"), F.lit(0))
+    gaps = F.split("text", r"\p{L}++", -1)
+    parts = texts.select("h", F.posexplode(F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("g"), words.alias("v"))).alias("at", "x"))
+    # where a word ends is a running sum, which takes time in proportion to the text
+    end = F.sum(F.char_length("x.g") + F.char_length("x.v")).over(Window.partitionBy("h").orderBy("at")).cast("int")
+    spans = parts.select("h", F.col("x.v").alias("v"), end.alias("e")).where(F.char_length("v") >= TERM_LETTERS).withColumn("term", F.lower("v")).join(reveal, "term", "left_semi")
+    span = F.struct(F.lit(KINDS.index("term")).alias("kind"), (F.col("e") - F.char_length("v")).alias("s"), "e", "v")
+    return spans.groupBy("h").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(doc_id, h, spans): all spans of each row, base kinds first, then disclosing terms near their entity.
+    """(doc_id, h, spans): all spans of each row, base kinds first, then every occurrence of a disclosing term outside them.
 
+    A term that discloses an entity does so in any document, with the entity or without.
     ``h`` is xxhash64 of the text, which tells rows that share a doc_id apart.
     Null texts count as empty and have no span.
     """
     found = _found(docs)
     reveal = stage(disclosing(docs, found, disclosure), "pii-disclosing")
-    near = found.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", F.col("x.entity").alias("entity"), F.explode("x.terms").alias("t")).withColumn("term", F.col("t.v"))
-    own = near.join(reveal, ["entity", "term"], "left_semi").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("t")).alias("terms"))
-    own = own.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "terms")
-    all_spans = F.concat("base", F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")))
-    return found.join(own, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "h", all_spans.alias("spans"))
+    own = stage(_occurrences(docs, reveal), "pii-occurrences")
+    own = _few(own, "aggregate(terms, 64L, (n, x) -> n + 64 + octet_length(x.v))").select(F.col("h").alias("h2"), "terms")
+    inside = lambda t: F.exists("base", lambda b: (b["s"] <= t["s"]) & (t["e"] <= b["e"]))
+    terms = F.filter(F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")), lambda t: ~inside(t))
+    return found.join(own, F.col("h") == F.col("h2"), "left").select("doc_id", "h", F.concat("base", terms).alias("spans"))
 
 
 def digest(spans: Column, base_only: bool) -> Column:
@@ -181,9 +213,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     docs = unclash(docs, ["doc_id", "text"])
     hit = find(docs, disclosure).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"])
     hit = stage(hit.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "spans"), "pii-spans")
-    size = F.expr("aggregate(spans, 64L, (n, x) -> n + 64 + octet_length(x.v))")
-    few = (hit.agg(F.sum(size)).first()[0] or 0) <= FEW_BYTES
-    hit = F.broadcast(hit) if few else hit
+    hit = _few(hit, "aggregate(spans, 64L, (n, x) -> n + 64 + octet_length(x.v))")
     joined = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["_h"]), "left")
     new = F.when(hit["spans"].isNotNull(), redact(docs["text"], hit["spans"])).otherwise(docs["text"])
     out = joined.select(*(docs[c] for c in docs.columns if c != "text"), new.alias("text")).select(*docs.columns)

@@ -390,6 +390,43 @@ def test_pii_entity_of_one_document(spark):
     assert rows[0] == "<TERM> to <TERM> <TERM> at <EMAIL> today please" and rows[1] == texts[1]
 
 
+def slow_terms(texts):
+    """Spans of terms that disclose an entity, by the definition."""
+    n, words, entities = len(texts), [], []
+    for t in texts:
+        words.append({w.lower() for w in regex.findall(r"\p{L}+", t) if len(w) >= pii.TERM_LETTERS})
+        entities.append({(k, t[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", t[a:b])) for k, a, b in slow_base(t)})
+    n_term, n_entity = Counter(w for x in words for w in x), Counter(e for x in entities for e in x)
+    both = Counter((e, w) for x, y in zip(entities, words) for e in x for w in y)
+    bad = {w for (e, w), k in both.items() if n_entity[e] < n and math.log2(k * n / (n_term[w] * n_entity[e])) >= pii.DISCLOSURE * math.log2(n / n_entity[e])}
+    out = []
+    for t in texts:
+        base = slow_base(t)
+        out.append([m.span() for m in regex.finditer(r"\p{L}+", t) if m.group().lower() in bad and not any(a <= m.start() and m.end() <= b for _, a, b in base)])
+    return out
+
+
+@pytest.mark.parametrize("few", [pii.FEW_BYTES, -1])
+def test_pii_terms_by_brute_force(spark, monkeypatch, docs, few):
+    monkeypatch.setattr(pii, "FEW_BYTES", few)
+    far = "Zebulon Quartermaine wrote. " + "nothing to see here today please " * 30
+    texts = [far + "Reach him at zq@mail.example.com or 10.1.2.3. Or ask QUARTERMAINE", "here zebulon is on his own, today", *["nothing to see here today please"] * 60]
+    rng = random.Random(8)
+    rare = ["\U0001f600", "caf\u00e9s", "\u0645\u0631\u062d\u0628\u0627", *(f"word{c}" for c in "abcdefghijkl")]
+    for i in range(120):
+        who = rng.choice(["", "", f"u{i % 7}@ex.org", "8.8.8.8", "+1 (555) 123-4567", "4111 1111 1111 1111"])
+        texts.append(" ".join([*rng.choices(rare, k=rng.randint(0, 6)), who, *rng.choices(rare, k=3)]))
+    texts += [texts[0], texts[70], *(r.text or "" for r in docs.collect())]
+    got = {r.doc_id: r for r in pii.find(clash(frame(spark, texts))).collect()}
+    want = slow_terms(texts)
+    for i, t in enumerate(texts):
+        assert [(x.s, x.e) for x in got[i].spans if x.kind == 4] == want[i], t[:200]
+        assert all(t[x.s : x.e] == x.v for x in got[i].spans)
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert clean[1] == "here <TERM> is on his own, today"
+    assert clean[0].startswith("<TERM> <TERM> <TERM>. nothing to see here") and clean[0].endswith("<EMAIL> or <IP>. Or ask <TERM>")
+
+
 def test_pii_plan_is_native(spark, docs):
     plan = pii.find(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
