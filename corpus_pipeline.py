@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nasaq.llm import bpe, decontaminate, language_id, near_dedup, pii
-from nasaq.llm.frames import _STAGED, crc_bucket, shared_dir, unclash
+from nasaq.llm.frames import _STAGED, crc_bucket, shared_dir, stage, unclash
 
 #: A document whose language has less than this share of it is rejected.
 LANGUAGE_SHARE = 0.5
@@ -27,10 +27,29 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies (five-word shingles, Jaccard 0.8)."""
+    """One document, the smallest doc_id, of each group of near copies (five-word shingles, Jaccard 0.8).
+
+    Texts decide, not ids: rows without a doc_id are compared as all others and
+    stay only where no copy has one; different texts under one doc_id are
+    different documents.  Rows whose text has no word are no copies and stay,
+    but for those that repeat both doc_id and text.
+    """
     docs = unclash(docs, ["doc_id", "text"])
-    gone = near_dedup.groups(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    unsure = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1")
+    if unsure.isEmpty():  # each id names a row
+        gone = near_dedup.groups(docs, width=5, percent=80).where("NOT kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+    # one row for each distinct text, named by the text's hash
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    row, first = F.struct(*docs.columns), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    one = docs.where(worded).groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(row, first).alias("row"), F.min(first).alias("first"))
+    one = stage(one, "pipeline-texts")
+    of = near_dedup.groups(one.select(F.col("h").alias("doc_id"), F.col("row.text").alias("text")), width=5, percent=80).select(F.col("doc_id").alias("h"), "component_id")
+    kept = one.select("h", "first").join(of, "h").groupBy("component_id").agg(F.min_by("h", F.struct("first", "h")).alias("h")).select("h")
+    rest = docs.where(~worded)
+    named = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    return one.join(kept, "h", "left_semi").select("row.*").union(named).union(rest.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

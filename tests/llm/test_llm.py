@@ -522,3 +522,22 @@ def test_pipeline_decisions(spark, tmp_path):
     assert "<EMAIL>" in clean[10_000_002] and "a.b@c.de" not in clean[10_000_002]
     final = {r.doc_id: r for r in step.collect()}
     assert all(final[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in clean.items()) and want
+
+
+def test_pipeline_near_copies_with_odd_ids(spark):
+    import corpus_pipeline as c
+
+    def text(tag, end=""):
+        return " ".join(f"{tag}{i}" for i in range(60)) + end
+
+    rows = [
+        (1, text("a")), (5, text("a", " more")), (5, text("b")), (5, text("c")), (9, text("c")), (9, text("c")),  # 5 has a copy of 1 and two texts of its own
+        (None, text("d")), (None, text("e")), (None, text("e")), (None, text("a")), (None, text("f")), (7, text("f", " more")),
+        (None, ""), (None, ""), (None, None), (5, ""), (5, ""), (6, None),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    out = c.keep_one_of_each(spark, clash(df), "")
+    want = [rows[i] for i in (0, 2, 3, 6, 7, 11, 12, 13, 14, 15, 17)]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+    unique = df.where("doc_id < 5 OR doc_id = 7")
+    assert sorted(r.doc_id for r in c.keep_one_of_each(spark, unique, "").collect()) == [1, 7]
