@@ -10,6 +10,7 @@ is a fraction of the text.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,8 @@ _TYPES = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
 @lru_cache(2)
 def library(path: str):
+    """The library's tokenizer, without threads of its own: a task has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)

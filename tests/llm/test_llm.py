@@ -11,10 +11,12 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nasaq.llm import bpe, decontaminate, language_id, near_dedup, pii, ppm, queries, token_counts, token_store, topk, url_filter
+from nasaq.llm import bpe, decontaminate, language_id, near_dedup, pii, ppm, pretokens, queries, token_counts, token_store, topk, url_filter
 from nasaq.llm.components import connected_components
 from nasaq.llm.words import shingles, word_hashes
 
@@ -318,7 +320,59 @@ def test_token_store_round_trip(spark, docs):
     assert token_store.store(frame(spark, [])).count() == 0
 
 
-def test_wavelet_matrix_by_brute_force():
+def test_token_store_null_and_repeated_ids(spark):
+    lib, text = library(), ["b", None, "a a", "a a", "never", "a a"]
+    df = spark.createDataFrame([(3, text[0]), (3, text[1]), (3, text[2]), (1, text[3]), (None, text[4]), (3, text[5])], "doc_id long, text string")
+    rows = sorted(token_store.store(df).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [1, 3, 3, 3, 3]
+    size = {t: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for t in text}
+    assert sorted(r.n_tokens for r in rows[1:]) == sorted(size[t] for t in ("b", None, "a a", "a a"))
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab\u00e9\u4e2d'stremvld  \n\t\u0085\x1c\u00a0\u3000019\u0661\u00b2.,-\u0301\U0001f600_")), max_size=6))
+def test_pre_tokens_equal_the_pattern(texts):
+    texts = [*texts, "it's 'll we'll 'llama ''s !'s x's's \u0645'd", "<|endoftext|>'s<|endoftext|>", ""]
+    c = pretokens.Cutter(bpe.pattern(), ["<|endoftext|>"])
+    joined, _, starts, count = c.cut(texts)
+    words = [joined[a:b] for a, b in zip(starts, [*starts[1:], len(joined)])]
+    assert bpe.pattern() == pretokens.KNOWN
+    assert words == [w for t in texts for w in token_counts.pre_tokens(t, c.find, c.first) if w] and sum(count) == len(words)
+
+
+def test_memory_forgets_and_tells_equal_hashes_apart(monkeypatch):
+    asked = []
+
+    def ask(words):
+        asked.extend(words)
+        return [np.array([ord(c) for c in w], "<u4") for w in words]
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c\n1'") for _ in range(rng.randint(0, 40))) for _ in range(400)] + ["x" * 200, "y" * 64 + " " + "x" * 200]
+    for most, weak in ((50, False), (10_000, True)):
+        if weak:  # the first hash tells nothing
+            monkeypatch.setattr(pretokens, "hashes", lambda *a, f=pretokens.hashes: (f(*a)[0] & np.uint64(3), f(*a)[1]))
+        m = pretokens.Memory(pretokens.Cutter(bpe.pattern(), []), ask, "<u4", most)
+        for s in range(0, len(texts), 50):
+            own = texts[s : s + 50]
+            ids, n = m.encode(own, end=7)
+            assert ["".join(map(chr, x[:-1])) for x in np.split(ids, np.cumsum(n)[:-1])] == own and set(ids[np.cumsum(n) - 1].tolist()) == {7}
+    assert len(asked) > len(set(asked))
+
+
+def test_packed_misses_equal_single_ones(docs):
+    lib = token_store._Library(bpe.vocabulary_path(token_store.VOCABULARY), bpe.pattern())
+    texts = [r.text or "" for r in docs.collect()] + [t or "" for t in ODD] + ["x \u0661 \u00aa\u00ba \u01c5ab\u02b0 \u4e2d\u6587 na\u00efve <|endoftext|> it's  two\u0085 \x1c\n\n end "]
+    ids, n = lib.encode(texts)
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == library().encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("block", [64, 1024, token_store.BLOCK])
+def test_wavelet_matrix_by_brute_force(monkeypatch, block):
+    monkeypatch.setattr(token_store, "BLOCK", block)
+    monkeypatch.setattr(token_store, "OPEN_BLOCKS", 8)
     rng = np.random.default_rng(1)
     for n, top in ((0, 5), (1, 1), (700, 50), (3000, 50257), (900, 1 << 20)):
         x = rng.integers(0, top, n).astype(np.uint32)
@@ -334,6 +388,14 @@ def test_wavelet_matrix_by_brute_force():
                 assert s.select(v, len(at)) == -1
 
 
+def test_wavelet_unpacks_few_blocks(monkeypatch):
+    x = np.random.default_rng(2).integers(0, 1 << 16, 1 << 20).astype(np.uint32)
+    s, seen = token_store.Shard(token_store.write_shard(np.array([7]), np.array([len(x)]), x)), []
+    monkeypatch.setattr(s, "_blob", lambda i, f=s._blob: seen.append(i) or f(i))
+    assert s.access([12345]).tolist() == [int(x[12345])]
+    assert len(seen) == s.levels and s.blocks == 8
+
+
 # 8: personal data
 
 
