@@ -7,8 +7,6 @@ reordering go to an Arrow UDF, which gets NULL for all others.
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -18,7 +16,7 @@ from pyspark.sql import types as T
 
 from . import translit
 from .explain import explain
-from .kernel import _tables, fold_table, marks, nfd, normalize, normalize_mapped, presentation_forms
+from .kernel import fold_table, normalize, normalize_mapped, simple_fold
 from .profile import Profile
 
 
@@ -35,53 +33,73 @@ def _class(points: list[int]) -> str:
     return "[" + "".join(out) + "]"
 
 
-@lru_cache(None)
-def _decompositions() -> tuple[dict[int, int], frozenset[int], frozenset[int]]:
-    """(code point -> base, where only nonspacing marks follow it; other decompositions; marks that are no Mn but reorder)."""
-    base, other, moving = {}, set(), set()
-    mn = marks("all")
-    for c in range(sys.maxunicode + 1):
-        if 0xD800 <= c < 0xE000:
-            continue
-        d = nfd(chr(c))
-        if d != chr(c):
-            if ord(d[0]) not in mn and all(ord(x) in mn for x in d[1:]):
-                base[c] = ord(d[0])
-            else:
-                other.add(c)
-        elif unicodedata.combining(chr(c)) and c not in mn:
-            moving.add(c)
-    return base, frozenset(other), frozenset(moving)
+#: Where one block of code points ends and the next begins.
+_EDGES = (0, 0x80, 0x300, 0x600, 0x700, 0x2000, 0x3000, 0xFB50, 0x110000)
 
 
-def drops_all_marks(p: Profile) -> bool:
-    """Whether every nonspacing mark goes, so that neither carriers nor order matter."""
-    return p.tashkil and p.scope == "all" and p.alef_hamza and p.hamza_seat and p.quranic
+def _tiered_class(points: list[int]) -> str:
+    """The same class by blocks: a character is compared with the points of its own block only."""
+    parts = []
+    for a, b in zip(_EDGES, _EDGES[1:]):
+        own = [c for c in points if a <= c < b]
+        if len(own) < 3:
+            parts.append(_class(own)[1:-1])
+        else:
+            parts.append(f"[[\\x{{{a:X}}}-\\x{{{b - 1:X}}}]&&{_class(own)}]")
+    return "[" + "".join(parts) + "]"
+
+
+#: Ranges of code points without any of the guard that are asked for first, and how long they are at least.
+SAFE_RANGES, SAFE_LENGTH = 4, 16
 
 
 @lru_cache(64)
 def native_plan(p: Profile) -> tuple[str, str, str]:
-    """(guard, from, to): texts without a code point of the guard class have the key translate(text, from, to)."""
-    base, other, moving = _decompositions()
-    _, full, _ = _tables(p)
-    forms = frozenset(presentation_forms()) if p.presentation else frozenset()
-    mn = marks("all")
-    fold = {c: v for c, v in full.items() if v != chr(c)}
-    if drops_all_marks(p):
-        guard = other | moving | forms
-        for c, b in base.items():
-            if c not in guard:
-                fold[c] = full.get(b, chr(b))
-        if "fa" in p.languages:
-            fold[0x06C0] = full.get(0x0647, "ه")
-        fold |= dict.fromkeys(mn - other)
-    else:
-        guard = other | moving | forms | frozenset(base) | mn
-        fold = {c: v for c, v in fold.items() if c not in mn}
-    fold = {c: v for c, v in fold.items() if c not in guard}
+    """(guard, from, to): texts without a match of the guard have the key translate(text, from, to).
+
+    The guard has many ranges; most characters are told by the few long ones
+    that hold none of it, which the class asks for first.
+    """
+    guard, fold = simple_fold(p)
     keep = [c for c, v in fold.items() if v is not None]
     gone = [c for c, v in fold.items() if v is None]
-    return _class(sorted(guard)), "".join(map(chr, keep + gone)), "".join(fold[c] for c in keep)
+    runs, a = [], 0
+    for c in sorted(x for x in guard if x < 0x700) + [0x700]:
+        if c - a >= SAFE_LENGTH:
+            runs.append((a, c - 1))
+        a = c + 1
+    safe = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in sorted(runs, key=lambda r: r[0] - r[1])[:SAFE_RANGES])
+    return f"[[^{safe}]&&{_tiered_class(sorted(guard))}]", "".join(map(chr, keep + gone)), "".join(fold[c] for c in keep)
+
+
+@lru_cache(64)
+def _spellings(p: Profile) -> tuple[dict[str, list[int]], str]:
+    """(code points other than itself that fold to a letter, class of those that fold to nothing)."""
+    _, fold = simple_fold(p)
+    out: dict[str, list[int]] = {}
+    for c, v in fold.items():
+        if v is not None:
+            out.setdefault(v, []).append(c)
+    gone = sorted(c for c, v in fold.items() if v is None)
+    return out, _tiered_class(gone) + "*+" if gone else ""
+
+
+@lru_cache(1024)
+def raw_pattern(key: str, p: Profile) -> str:
+    """A Java pattern over the raw text that says exactly whether its key contains ``key``, where the guard has no match.
+
+    Each letter of the key becomes the class of what folds to it; what folds to
+    nothing may stand between them.
+    """
+    guard, fold = simple_fold(p)
+    other, gone = _spellings(p)
+    classes = []
+    for ch in key:
+        own = sorted([*other.get(ch, []), *([ord(ch)] if ord(ch) not in fold and ord(ch) not in guard else [])])
+        if not own:
+            return r"(?!)"
+        classes.append(_tiered_class(own))
+    return gone.join(classes)
 
 
 def _normalize_udf(p: Profile):
@@ -92,7 +110,14 @@ def _normalize_udf(p: Profile):
     return key
 
 
-_NOT_ASCII = r"[^\x00-\x7F]"
+def is_ascii(text: Column) -> Column:
+    """Such texts are their own keys; no character is looked at one by one."""
+    return F.octet_length(text) == F.char_length(text)
+
+
+def needs_kernel(text: Column, p: Profile) -> Column:
+    """Whether a text has a code point that needs real decomposition or reordering."""
+    return ~is_ascii(text) & text.rlike(native_plan(p)[0])
 
 
 def key_column(text: Column, p: Profile, mode: str = "auto") -> Column:
@@ -103,12 +128,13 @@ def key_column(text: Column, p: Profile, mode: str = "auto") -> Column:
     """
     if mode == "udf":
         return _normalize_udf(p)(text)
-    guard, a, b = native_plan(p)
-    plain = F.when(text.rlike(_NOT_ASCII), F.translate(text, a, b)).otherwise(text)
-    hard = text.rlike(guard)
+    _, a, b = native_plan(p)
+    hard = needs_kernel(text, p)
     if mode == "native":
-        return F.when(hard, F.raise_error(F.lit("a text needs full decomposition; use mode='auto'"))).otherwise(plain)
-    return F.when(hard, _normalize_udf(p)(F.when(hard, text))).otherwise(plain)
+        kernel = F.raise_error(F.lit("a text needs full decomposition; use mode='auto'"))
+    else:
+        kernel = _normalize_udf(p)(F.when(hard, text))
+    return F.when(is_ascii(text), text).when(hard, kernel).otherwise(F.translate(text, a, b))
 
 
 def mapped_key_column(text: Column, p: Profile) -> Column:

@@ -8,6 +8,7 @@ with such a mark take the slow path.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -87,6 +88,52 @@ def _tables(p: Profile) -> tuple[dict, dict, dict]:
     return t, _rasm(t) if p.rasm else t, first
 
 
+@lru_cache(None)
+def _decompositions() -> tuple[dict[int, int], frozenset[int], frozenset[int]]:
+    """(code point -> base, where only nonspacing marks follow it; other decompositions; marks that are no Mn but reorder)."""
+    base, other, moving = {}, set(), set()
+    mn = marks("all")
+    for c in range(sys.maxunicode + 1):
+        if 0xD800 <= c < 0xE000:
+            continue
+        d = nfd(chr(c))
+        if d != chr(c):
+            if ord(d[0]) not in mn and all(ord(x) in mn for x in d[1:]):
+                base[c] = ord(d[0])
+            else:
+                other.add(c)
+        elif unicodedata.combining(chr(c)) and c not in mn:
+            moving.add(c)
+    return base, frozenset(other), frozenset(moving)
+
+
+def drops_all_marks(p: Profile) -> bool:
+    """Whether every nonspacing mark goes, so that neither carriers nor order matter."""
+    return p.tashkil and p.scope == "all" and p.alef_hamza and p.hamza_seat and p.quranic
+
+
+@lru_cache(64)
+def simple_fold(p: Profile) -> tuple[frozenset[int], dict[int, str | None]]:
+    """(guard, fold): texts without a code point of the guard have the key that ``fold`` gives code point by code point."""
+    base, other, moving = _decompositions()
+    _, full, _ = _tables(p)
+    forms = frozenset(presentation_forms()) if p.presentation else frozenset()
+    mn = marks("all")
+    fold = {c: v for c, v in full.items() if v != chr(c)}
+    if drops_all_marks(p):
+        guard = other | moving | forms
+        for c, b in base.items():
+            if c not in guard:
+                fold[c] = full.get(b, chr(b))
+        if "fa" in p.languages:
+            fold[0x06C0] = full.get(0x0647, "ه")
+        fold |= dict.fromkeys(mn - other)
+    else:
+        guard = other | moving | forms | frozenset(base) | mn
+        fold = {c: v for c, v in fold.items() if c not in mn}
+    return frozenset(guard), {c: v for c, v in fold.items() if c not in guard}
+
+
 def _drops_mark(p: Profile, r: str, base: str) -> bool:
     """Whether a hamza or madda mark goes, by the letter that carries it."""
     if base == ALEF:
@@ -145,11 +192,40 @@ def _order(tokens: list[list]) -> None:
         i = j
 
 
+@lru_cache(64)
+def _guard(p: Profile) -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, map(chr, sorted(simple_fold(p)[0])))) + "]")
+
+
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7F]")
+
+
+def _mapped_simply(p: Profile, s: str, size: int) -> tuple[str, list[int]]:
+    """``normalize_mapped`` of a text whose key is made code point by code point; ASCII goes over in runs."""
+    fold, key, index, done, at = simple_fold(p)[1], [], [], 0, 0
+    for m in _BEYOND_ASCII.finditer(s):
+        i, ch = m.start(), m.group()
+        key.append(s[done:i])
+        index += range(at, at + i - done)
+        at += i - done
+        out = fold.get(ord(ch), ch)
+        if out:
+            key.append(out)
+            index += [at] * len(out.encode("utf-8"))
+        at += len(ch.encode("utf-8"))
+        done = i + 1
+    key.append(s[done:])
+    index += range(at, size + 1)
+    return "".join(key), index
+
+
 def normalize_mapped(p: Profile, s: str) -> tuple[str, list[int]]:
     """(key, index): index[i] is the byte of s where byte i of the key began; its last entry is the length of s."""
     size = len(s.encode("utf-8"))
     if s.isascii():
         return s, list(range(size + 1))
+    if not _guard(p).search(s):
+        return _mapped_simply(p, s, size)
     _, _, first = _tables(p)
     tokens, at = [], 0
     ccc = unicodedata.combining

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.columns import is_ascii, raw_pattern
 from ..functions.kernel import query_key
 from ..functions.profile import Profile
 
@@ -84,10 +85,21 @@ class Literal:
         """None with case folding: Spark has no full case folding."""
         if self.ignore_case:
             return None
-        hit = F.lit(False)
-        for k in self.keys:
-            hit = hit | F.contains(key, F.lit(k))
-        return hit
+        if len(self.keys) == 1:
+            return F.contains(key, F.lit(self.keys[0]))
+        return key.rlike("|".join(map(_literally, self.keys)))
+
+    def raw(self, text: Column) -> Column | None:
+        """The same over raw text that needs no kernel; ASCII text is its own key, so byte search does."""
+        if self.ignore_case:
+            return None
+        plain = [k for k in self.keys if k.isascii()]
+        same = reduce(Column.__or__, (F.contains(text, F.lit(k)) for k in plain)) if plain else F.lit(False)
+        return F.when(is_ascii(text), same).otherwise(text.rlike("|".join(raw_pattern(k, self.profile) for k in self.keys)))
+
+    def factors(self) -> list[str] | None:
+        """Pieces of the key, one of which is in the key of any text that matches."""
+        return None if self.ignore_case else list(self.keys)
 
 
 _CLASSES = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r "}
@@ -341,10 +353,13 @@ class Regex:
         joined = [translate_pattern(q) for q in self.queries]
         if self.ignore_case or any("\\p{" in j or "\\P{" in j or "(?i" in j for j in joined):
             return None
-        hit = F.lit(False)
-        for j in joined:
-            hit = hit | key.rlike("(?d)" + j)
-        return hit
+        return key.rlike("(?d)" + "|".join(f"(?:{j})" for j in joined))
+
+    def raw(self, text: Column) -> Column | None:
+        return None
+
+    def factors(self) -> list[str] | None:
+        return None
 
 
 class _Bits:
@@ -441,10 +456,42 @@ class Fuzzy:
                 out.append((a, b))
         return out
 
+    def factors(self) -> list[str] | None:
+        """``distance`` + 1 pieces of each key: so many edits leave one of them whole."""
+        n = self.distance + 1
+        if self.ignore_case or any(len(k) < n for k in self.keys):
+            return None
+        return [k[i * len(k) // n : (i + 1) * len(k) // n] for k in self.keys for i in range(n)]
+
     def native(self, key: Column) -> Column | None:
+        """Up to one edit: one half of the key is whole, and what stands beside it is the other half with an edit at most."""
+        if self.distance == 0 and not self.ignore_case:
+            return key.rlike("|".join(map(_literally, self.keys)))
+        if self.distance != 1 or self.factors() is None:
+            return None
+        every = []
+        for k in self.keys:
+            a, b = k[: len(k) // 2], k[len(k) // 2 :]
+            every.append(f"{_literally(a)}(?:{_one_edit(b)})|{_literally(b)}(?<=(?:{_one_edit(a)}){_literally(b)})")
+        return key.rlike("(?s)" + "|".join(every))
+
+    def raw(self, text: Column) -> Column | None:
         return None
 
 
+def _literally(s: str) -> str:
+    """A Java pattern of exactly this string."""
+    return "".join(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):X}}}" for c in s)
+
+
+def _one_edit(s: str) -> str:
+    """A Java pattern of all strings within one insertion, deletion or substitution of s."""
+    each = [_literally(c) for c in s]
+    out = ["".join(each[:i] + ["."] + each[i:]) for i in range(len(s) + 1)]
+    out += ["".join(each[:i] + ["."] + each[i + 1 :]) for i in range(len(s))]
+    return "|".join(dict.fromkeys(out + ["".join(each[:i] + each[i + 1 :]) for i in range(len(s))]))
+
+
 Matcher = Literal | Regex | Fuzzy
 
 

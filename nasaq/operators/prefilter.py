@@ -1,4 +1,4 @@
-"""Proofs on raw text that spare normalising it; built-in predicates that reach the scan.
+"""Proofs on raw text that spare normalising it, or splitting it into lines; built-in predicates only.
 
 A literal's anchors are letters that no rule changes and none introduces, but
 for presentation forms.  A text without an anchor, and without a form that
@@ -7,12 +7,14 @@ expands to it, can't match.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.kernel import nfd, normalize, presentation_forms
+from ..functions.columns import is_ascii, needs_kernel, raw_pattern
+from ..functions.kernel import nfd, normalize
 from .matchers import Literal, Matcher
 
 ANCHORS = frozenset("بتثجحخدذرزسشصضطظعغفقلمن")
@@ -29,26 +31,21 @@ def anchors(m: Matcher) -> list[list[str]] | None:
 
 
 def can_match(text: Column, m: Matcher) -> Column | None:
-    """A necessary condition on raw text: every anchor of some key, or a form that expands to it.
+    """A necessary condition on raw text: the spelling of a piece that any match has, or a code point that needs the kernel.
 
-    Only ``contains``, so Parquet readers can apply it too.
+    For literals of texts that don't need the kernel it is sufficient too.
+    None without such pieces.  ``text`` is evaluated once, whatever it is made of.
     """
-    found = anchors(m)
-    if found is None:
+    if (pieces := m.factors()) is None:
         return None
-    forms = presentation_forms() if m.profile.presentation else {}
-    out = None
-    for letters in found:
-        each = None
-        # the rarest sort of letter tells most, and one keeps the predicate short where forms are many
-        for c in letters[:2]:
-            has = F.contains(text, F.lit(c))
-            for f, s in forms.items():
-                if c in s:
-                    has = has | F.contains(text, F.lit(chr(f)))
-            each = has if each is None else each & has
-        out = each if out is None else out | each
-    return out
+    same = [p for p in pieces if p.isascii()]
+    pattern = "|".join(raw_pattern(p, m.profile) for p in pieces)
+
+    def may(t: Column) -> Column:
+        plain = reduce(Column.__or__, (F.contains(t, F.lit(p)) for p in same)) if same else F.lit(False)
+        return F.when(is_ascii(t), plain).otherwise(t.rlike(pattern) | needs_kernel(t, m.profile))
+
+    return F.exists(F.array(text), may)
 
 
 def _stable(c: str, m: Literal) -> bool:
@@ -79,11 +76,6 @@ def proofs(m: Matcher) -> list[str]:
 
 
 def must_match(text: Column, m: Matcher) -> Column | None:
-    """A sufficient condition on raw text."""
+    """A sufficient condition on raw text; only ``contains``, so Parquet readers can apply it too."""
     p = proofs(m)
-    if not p:
-        return None
-    out = F.lit(False)
-    for s in p:
-        out = out | F.contains(text, F.lit(s))
-    return out
+    return reduce(Column.__or__, (F.contains(text, F.lit(s)) for s in p)) if p else None

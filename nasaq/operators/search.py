@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import key_column
+from ..functions.columns import key_column, needs_kernel
+from ..functions.kernel import normalize
 from ..shipping import ship
+from ..sources.lines import logical_lines
 from .matchers import Matcher
-from .prefilter import can_match, must_match
-from .spans import SPANS, matches_column, spans_column
+from .prefilter import can_match
+from .spans import SPANS, add_spans, matches_column
 
 #: Key bytes of the patterns that are broadcast at once.
 MAX_PATTERN_BYTES = 32 << 20
@@ -21,50 +24,98 @@ MAX_PATTERN_BYTES = 32 << 20
 def match_column(text: Column, m: Matcher, mode: str = "auto", prefilter: bool = True) -> Column:
     """Whether a text matches, in the JVM as far as it goes.
 
-    ``prefilter`` puts raw-text proofs before the key: what can't match isn't
-    normalised, and what must match isn't either.
+    A literal is searched for in the raw text, by what its letters may be
+    spelled as, and no key is made; other matchers take the key.  Texts that
+    need the kernel, and matchers that Spark can't express, go to Python, which
+    gets NULL for all others.  ``prefilter=False`` always makes the key.
     """
-    if (hit := m.native(key_column(text, m.profile, mode))) is None:
+    p = m.profile
+    easy = m.raw(text) if prefilter and mode != "udf" else None
+    if easy is not None and mode == "auto":
+        hard = needs_kernel(text, p)
+        return F.when(hard, matches_column(F.when(hard, text), m)).otherwise(easy)
+    if (hit := m.native(key_column(text, p, mode))) is None:
         may = can_match(text, m) if prefilter else None
         if may is None:
             return matches_column(text, m)
         return may & F.coalesce(matches_column(F.when(may, text), m), F.lit(False))
-    if not prefilter:
-        return hit
-    may, must = can_match(text, m), must_match(text, m)
-    if may is not None:
-        hit = may & hit
-    return hit if must is None else must | hit
+    may = can_match(text, m) if prefilter and mode == "auto" else None
+    return hit if may is None else may & hit
 
 
 def candidates(texts: DataFrame, m: Matcher, text: str = "text") -> DataFrame:
     """Rows of whole texts of which a line can match, for searches that aren't inverted.
 
-    Only ``contains`` on the raw column: it reaches the Parquet reader, and texts
-    without a match aren't split into lines.  Without a proof all rows stay.
+    Built-in and narrow: texts without a match aren't split into lines at all.
+    Without a proof all rows stay.
     """
     may = can_match(F.col(text), m)
     return texts if may is None else texts.where(may)
 
 
-def select_lines(lines: DataFrame, m: Matcher, *, text: str = "text", invert: bool = False, word: bool = False, spans: bool = False, mode: str = "auto", prefilter: bool = True) -> DataFrame:
+def _per_text(texts: DataFrame, m: Matcher, text: str, kind: T.DataType, fast: Callable[[Column], Column], slow: Callable[[list[bool]], object]) -> Column:
+    """A summary of each whole text's lines, made inside its row: nothing is exploded, shuffled or joined.
+
+    ``fast`` makes it of the raw text; texts that need the kernel, and matchers
+    without a predicate on raw text, take ``slow`` over whether each line
+    matches, in one Arrow UDF that gets NULL for all others.
+    """
+    ship(texts.sparkSession)
+    col = F.col(text)
+
+    @F.arrow_udf(kind)
+    def judge(rows: pa.Array) -> pa.Array:
+        out = [None if t is None else slow([m.matches(normalize(m.profile, x)) for x in logical_lines(t)]) for t in rows.to_pylist()]
+        return pa.array(out, pa.int64() if isinstance(kind, T.LongType) else pa.bool_())
+
+    if m.raw(col) is None or any("\n" in k or "\r" in k for k in m.keys):
+        may = can_match(col, m)
+        return judge(col if may is None else F.when(may, col))
+    hard = needs_kernel(col, m.profile)
+    return F.when(hard, judge(F.when(hard, col))).otherwise(fast(col))
+
+
+def count_in_texts(texts: DataFrame, m: Matcher, text: str = "text") -> DataFrame:
+    """``texts`` with ``selected``, the number of lines that match; nulls have 0."""
+    n = _per_text(texts, m, text, T.LongType(), lambda t: F.when(m.raw(t), F.size(F.filter(F.split(t, "\n", -1), m.raw)).cast("long")), sum)
+    return texts.withColumn("selected", F.coalesce(n, F.lit(0).cast("long")))
+
+
+def texts_with(texts: DataFrame, m: Matcher, without: bool = False, text: str = "text") -> DataFrame:
+    """Texts of which a line matches, or none does; null texts have no line."""
+    hit = F.coalesce(_per_text(texts, m, text, T.BooleanType(), m.raw, any), F.lit(False))
+    return texts.where(~hit if without else hit)
+
+
+def first_in_texts(texts: DataFrame, m: Matcher, text: str = "text", line: str = "line") -> DataFrame:
+    """Texts of which a line matches, with ``line``, the number of the first."""
+    first = lambda t: F.when(m.raw(t), F.array_position(F.transform(F.split(t, "\n", -1), m.raw), F.lit(True)))
+    n = _per_text(texts, m, text, T.LongType(), first, lambda hits: hits.index(True) + 1 if any(hits) else 0)
+    return texts.withColumn(line, n.cast("long")).where(F.col(line) > 0)
+
+
+def select_lines(lines: DataFrame, m: Matcher, *, text: str = "text", invert: bool = False, word: bool = False, spans: bool = False, mode: str = "auto", prefilter: bool = True, only: bool = False) -> DataFrame:
     """``lines`` with ``selected`` and ``spans``; spans are mapped only where they are asked for.
 
     Inverted lines have spans only with ``word``, where an unbounded match
-    still counts for the lines around.
+    still counts for the lines around.  ``only`` leaves out lines that aren't
+    selected.  Whether a line matches is asked in the JVM; spans are looked for
+    in lines that do, in one Arrow pass.
     """
     ship(lines.sparkSession)
-    col = F.col(text)
-    mapped = word or (spans and not invert)
-    if not mapped:
-        hit = match_column(col, m, mode, prefilter)
-        return lines.withColumn("selected", ~hit if invert else hit).withColumn("spans", F.lit(None).cast(SPANS))
-    may = can_match(col, m) if prefilter else None
-    found = spans_column(col if may is None else F.when(may, col), m, word)
-    out = lines.withColumn("spans", found)
-    hit = F.col("spans").isNotNull()
-    out = out.withColumn("selected", ~hit if invert else hit)
-    return out if spans else out.withColumn("spans", F.lit(None).cast(SPANS))
+    hit = match_column(F.col(text), m, mode, prefilter)
+    none = F.lit(None).cast(SPANS)
+    if not word and (invert or not spans):
+        out = lines.withColumn("selected", ~hit if invert else hit).withColumn("spans", none)
+        return out.where("selected") if only else out
+    if only and not invert:
+        lines, hit = lines.where(hit), F.lit(True)
+    out = add_spans(lines.withColumn("selected", hit), m, text, "selected", word)
+    if word:
+        found = F.col("spans").isNotNull()
+        out = out.withColumn("selected", ~found if invert else found)
+        out = out.where("selected") if only else out
+    return out if spans else out.withColumn("spans", none)
 
 
 def with_context(selected: DataFrame, keys: list[str], before: int = 0, after: int = 0, line: str = "line") -> DataFrame:
@@ -86,7 +137,7 @@ def with_context(selected: DataFrame, keys: list[str], before: int = 0, after: i
 
 def search(df: DataFrame, m: Matcher, *, text: str = "text", keys: list[str] = ("doc_id",), line: str = "line", invert: bool = False, word: bool = False, spans: bool = False, before: int = 0, after: int = 0, mode: str = "auto") -> DataFrame:
     """(keys..., line, text, context, group_start, spans) of the selected lines of a DataFrame of lines."""
-    s = select_lines(df, m, text=text, invert=invert, word=word, spans=spans, mode=mode)
+    s = select_lines(df, m, text=text, invert=invert, word=word, spans=spans, mode=mode, only=not before and not after)
     return with_context(s, list(keys), before, after, line).select(*keys, line, text, "context", "group_start", "spans")
 
 
@@ -95,20 +146,20 @@ def count_selected(df: DataFrame, m: Matcher, inputs: DataFrame, *, text: str =
 
     Partial sums are made before the shuffle, and only counted lines shuffle.
     """
-    s = select_lines(df, m, text=text, invert=invert, word=word, mode=mode)
-    n = s.where("selected").groupBy(*keys).agg(F.count("*").alias("selected"))
+    s = select_lines(df, m, text=text, invert=invert, word=word, mode=mode, only=True)
+    n = s.groupBy(*keys).agg(F.count("*").alias("selected"))
     return inputs.select(*keys).join(n, list(keys), "left").select(*keys, F.coalesce("selected", F.lit(0)).cast("long").alias("selected"))
 
 
 def inputs_with(df: DataFrame, m: Matcher, inputs: DataFrame, *, without: bool = False, text: str = "text", keys: list[str] = ("doc_id",), invert: bool = False, word: bool = False, mode: str = "auto") -> DataFrame:
     """Inputs with a selected line, or without any: a semi-join or an anti-join."""
-    s = select_lines(df, m, text=text, invert=invert, word=word, mode=mode).where("selected").select(*keys)
+    s = select_lines(df, m, text=text, invert=invert, word=word, mode=mode, only=True).select(*keys)
     return inputs.select(*keys).join(s, list(keys), "left_anti" if without else "left_semi")
 
 
 def first_selected(df: DataFrame, m: Matcher, *, text: str = "text", keys: list[str] = ("doc_id",), line: str = "line", invert: bool = False, word: bool = False, mode: str = "auto") -> DataFrame:
     """(keys..., line): each input's first selected line."""
-    s = select_lines(df, m, text=text, invert=invert, word=word, mode=mode).where("selected")
+    s = select_lines(df, m, text=text, invert=invert, word=word, mode=mode, only=True)
     return s.groupBy(*keys).agg(F.min(line).alias(line))
 
 

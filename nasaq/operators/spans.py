@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,10 +32,10 @@ def word_bounded(raw: bytes, start: int, end: int, zwnj: bool) -> bool:
     return not (end < len(raw) and is_word(raw[end : end + 4].decode("utf-8", "ignore")[:1] or " ", zwnj))
 
 
-def search_text(m: Matcher, text: str, word: bool = False) -> list[tuple[int, int]] | None:
-    """Spans of a line, neighbours that are equal once; None if nothing is found."""
+def search_text(m: Matcher, text: str, word: bool = False, known: bool = False) -> list[tuple[int, int]] | None:
+    """Spans of a line, neighbours that are equal once; None if nothing is found.  ``known`` says that it matches."""
     p = m.profile
-    if not m.matches(normalize(p, text)):
+    if not known and not m.matches(normalize(p, text)):
         return None
     key, index = normalize_mapped(p, text)
     raw = text.encode("utf-8") if word else b""
@@ -52,17 +53,38 @@ def search_text(m: Matcher, text: str, word: bool = False) -> list[tuple[int, in
     return out if found else None
 
 
-def spans_column(text: Column, m: Matcher, word: bool = False) -> Column:
+def _spans_array(rows: list[list[tuple[int, int]] | None]) -> pa.Array:
+    off = [0]
+    for r in rows:
+        off.append(off[-1] + len(r or ()))
+    flat = [x for r in rows if r for x in r]
+    pair = pa.StructArray.from_arrays([pa.array([a for a, _ in flat], pa.int32()), pa.array([b for _, b in flat], pa.int32())], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pair, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def spans_column(text: Column, m: Matcher, word: bool = False, known: bool = False) -> Column:
     """array<struct<start, end>> of each text's spans in bytes; null if it doesn't match."""
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else search_text(m, t, word) for t in texts.to_pylist()]
-        return pa.array([None if r is None else [{"start": a, "end": b} for a, b in r] for r in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        return _spans_array([None if t is None else search_text(m, t, word, known) for t in texts.to_pylist()])
 
     return spans(text)
 
 
+def add_spans(lines: DataFrame, m: Matcher, text: str, hit: str, word: bool) -> DataFrame:
+    """``lines`` with ``spans`` of the rows where ``hit`` is true; one Arrow pass that later filters don't repeat."""
+    at, told = lines.columns.index(text), lines.columns.index(hit)
+    schema = T.StructType([*lines.schema.fields, T.StructField("spans", SPANS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [search_text(m, t, word, True) if h else None for t, h in zip(b.column(at).to_pylist(), b.column(told).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, _spans_array(rows)], names=[*b.schema.names, "spans"])
+
+    return lines.mapInArrow(run, schema)
+
+
 def matches_column(text: Column, m: Matcher) -> Column:
     """Whether each text matches; no map of bytes is made."""
 

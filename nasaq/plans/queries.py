@@ -28,18 +28,21 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_lines(_docs(spark, sf_dir))
+def _lines(spark: SparkSession, sf_dir: str, m: Matcher | None = None) -> DataFrame:
+    """The documents' lines; only of texts that can match, if ``m`` is given."""
+    d = _docs(spark, sf_dir)
+    return split_lines(d if m is None else S.candidates(d, m))
 
 
-def _arabic(spark: SparkSession, sf_dir: str, m: Matcher | None = None) -> DataFrame:
-    """The documents' lines in Arabic letters, by Buckwalter's letters; only of texts that can match, if ``m`` is given."""
-    d = _docs(spark, sf_dir).withColumn("text", C.from_latin_column(F.col("text")))
-    return split_lines(d if m is None else S.candidates(d, m))
+def _arabic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in Arabic letters, by Buckwalter's letters."""
+    return _docs(spark, sf_dir).select("doc_id", C.from_latin_column(F.col("text")).alias("text"))
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id")
+def _arabic(spark: SparkSession, sf_dir: str, m: Matcher | None = None) -> DataFrame:
+    """Their lines; only of texts that can match, if ``m`` is given."""
+    d = _arabic_docs(spark, sf_dir)
+    return split_lines(d if m is None else S.candidates(d, m))
 
 
 def _literal(*q: str, profile: Profile = P, ignore_case: bool = False) -> Literal:
@@ -210,11 +213,13 @@ def _found_spans(lines: DataFrame, m, **options) -> DataFrame:
 
 
 def m1_literal(spark, sf_dir):
-    return _found(_lines(spark, sf_dir), _literal("Tión"))
+    m = _literal("Tión")
+    return _found(_lines(spark, sf_dir, m), m)
 
 
 def m1_any_of(spark, sf_dir):
-    return _found(_lines(spark, sf_dir), _literal("ationt", "scherr", "èparre", "ciónta"))
+    m = _literal("ationt", "scherr", "èparre", "ciónta")
+    return _found(_lines(spark, sf_dir, m), m)
 
 
 def m1_arabic_prefiltered(spark, sf_dir):
@@ -224,12 +229,14 @@ def m1_arabic_prefiltered(spark, sf_dir):
 
 def m1_conversations(spark, sf_dir):
     ship(spark)
-    lines = split_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"), keys=["conv_id", "turn", "role"])
-    return S.search(lines, _literal("theth"), keys=["conv_id", "turn", "role"]).select("conv_id", "turn", "role", "line", "text")
+    m = _literal("theth")
+    lines = split_lines(S.candidates(spark.read.parquet(f"{sf_dir}/conversations.parquet"), m), keys=["conv_id", "turn", "role"])
+    return S.search(lines, m, keys=["conv_id", "turn", "role"]).select("conv_id", "turn", "role", "line", "text")
 
 
 def m3_literal_spans(spark, sf_dir):
-    return _found_spans(_lines(spark, sf_dir), _literal("tion"))
+    m = _literal("tion")
+    return _found_spans(_lines(spark, sf_dir, m), m)
 
 
 def m3_any_of_spans(spark, sf_dir):
@@ -250,11 +257,13 @@ def m6_regex_spans(spark, sf_dir):
 
 
 def m7_fuzzy(spark, sf_dir):
-    return _found(_lines(spark, sf_dir), Fuzzy(("therand",), P, False, 1))
+    m = Fuzzy(("therand",), P, False, 1)
+    return _found(_lines(spark, sf_dir, m), m)
 
 
 def m10_fuzzy_spans(spark, sf_dir):
-    return _found_spans(_lines(spark, sf_dir), Fuzzy(("therand",), P, False, 1))
+    m = Fuzzy(("therand",), P, False, 1)
+    return _found_spans(_lines(spark, sf_dir, m), m)
 
 
 def m13_invert(spark, sf_dir):
@@ -262,11 +271,13 @@ def m13_invert(spark, sf_dir):
 
 
 def m14_word(spark, sf_dir):
-    return _found(_lines(spark, sf_dir), _literal("des"), word=True)
+    m = _literal("des")
+    return _found(_lines(spark, sf_dir, m), m, word=True)
 
 
 def m14_word_spans(spark, sf_dir):
-    return _found_spans(_lines(spark, sf_dir), _literal("des"), word=True)
+    m = _literal("des")
+    return _found_spans(_lines(spark, sf_dir, m), m, word=True)
 
 
 def j1_patterns_in_texts(spark, sf_dir):
@@ -280,7 +291,8 @@ def j1_patterns_in_texts(spark, sf_dir):
 
 
 def w1_context(spark, sf_dir):
-    return S.search(_lines(spark, sf_dir), _literal("theth"), before=1, after=2).select(*DOC, "text", "context", "group_start")
+    m = _literal("theth")
+    return S.search(_lines(spark, sf_dir, m), m, before=1, after=2).select(*DOC, "text", "context", "group_start")
 
 
 def w1_context_inverted(spark, sf_dir):
@@ -291,24 +303,23 @@ def w1_context_inverted(spark, sf_dir):
 
 
 def a1_count_per_document(spark, sf_dir):
-    return S.count_selected(_lines(spark, sf_dir), _literal("tion"), _inputs(spark, sf_dir))
+    return S.count_in_texts(_docs(spark, sf_dir), _literal("tion")).select("doc_id", "selected")
 
 
 def a1_count_arabic(spark, sf_dir):
-    m = _literal("نت")
-    return S.count_selected(_arabic(spark, sf_dir, m), m, _inputs(spark, sf_dir))
+    return S.count_in_texts(_arabic_docs(spark, sf_dir), _literal("نت")).select("doc_id", "selected")
 
 
 def a2_documents_with(spark, sf_dir):
-    return S.inputs_with(_lines(spark, sf_dir), _literal("theth"), _inputs(spark, sf_dir))
+    return S.texts_with(_docs(spark, sf_dir), _literal("theth")).select("doc_id")
 
 
 def a3_documents_without(spark, sf_dir):
-    return S.inputs_with(_lines(spark, sf_dir), _literal("theth"), _inputs(spark, sf_dir), without=True)
+    return S.texts_with(_docs(spark, sf_dir), _literal("theth"), without=True).select("doc_id")
 
 
 def a4_first_line(spark, sf_dir):
-    return S.first_selected(_lines(spark, sf_dir), _literal("tion"))
+    return S.first_in_texts(_docs(spark, sf_dir), _literal("tion")).select("doc_id", "line")
 
 
 def a5_status(spark, sf_dir):
@@ -320,12 +331,14 @@ def a5_status(spark, sf_dir):
 
 
 def p1_json_lines(spark, sf_dir):
-    s = S.search(_lines(spark, sf_dir), _literal("ation"), spans=True, before=1)
+    m = _literal("ation")
+    s = S.search(_lines(spark, sf_dir, m), m, spans=True, before=1)
     return json_lines(s.withColumn("file", F.col("doc_id").cast("string"))).select(*DOC, "out")
 
 
 def p2_human_lines(spark, sf_dir):
-    s = S.search(_lines(spark, sf_dir), _literal("theth"), before=1, after=1)
+    m = _literal("theth")
+    s = S.search(_lines(spark, sf_dir, m), m, before=1, after=1)
     return human_lines(s.withColumn("file", F.col("doc_id").cast("string")), line_numbers=True, filenames=True).select(*DOC, "out")
 
 
@@ -335,7 +348,8 @@ def p3_only_matching(spark, sf_dir):
 
 
 def p4_highlight(spark, sf_dir):
-    s = S.search(_lines(spark, sf_dir), _literal("tion"), spans=True)
+    m = _literal("tion")
+    s = S.search(_lines(spark, sf_dir, m), m, spans=True)
     return s.select(*DOC, highlight_column(F.col("text"), F.col("spans"), "<mark>", "</mark>").alias("out"))
 
 

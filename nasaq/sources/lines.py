@@ -28,6 +28,12 @@ def split_lines(df: DataFrame, text: str = "text", keys: list[str] = ("doc_id",)
     return rows.select(*keys, (F.col("_i") + 1).cast("long").alias("line"), trimmed.alias(text))
 
 
+def logical_lines(text: str) -> list[str]:
+    """The same lines of one string."""
+    *ended, last = text.split("\n")
+    return [x.removesuffix("\r") for x in ended] + ([last] if last else [])
+
+
 _SCHEMA = "ord int, file string, line long, text string, error string"
 
 

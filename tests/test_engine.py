@@ -17,7 +17,7 @@ from nasaq.functions.kernel import EmptyKeyError, map_span, marks, normalize, no
 from nasaq.functions.profile import OVERRIDES, PROFILES, SWITCHES, Profile, format_languages, parse_languages, resolve
 from nasaq.operators import search as S
 from nasaq.operators.matchers import Fuzzy, Literal, PatternError, Regex, build, translate_pattern
-from nasaq.operators.prefilter import ANCHORS, anchors, can_match, proofs
+from nasaq.operators.prefilter import ANCHORS, anchors, must_match, proofs
 from nasaq.operators.spans import highlight_column, mark, search_text
 from nasaq.plans.command import run, search_files
 from nasaq.plans.options import UsageError, parse
@@ -383,7 +383,7 @@ def test_prefilter_changes_nothing_and_reaches_the_scan(spark, tmp_path):
         assert S.search(split_lines(kept), m).exceptAll(S.search(split_lines(whole), m)).count() == 0 and S.search(split_lines(kept), m).count() == S.search(split_lines(whole), m).count()
         assert q == "لا" or kept.count() < 200
     strict = Literal(("ب",), PROFILES["lucene"])
-    plan = df.where(can_match(F.col("text"), strict))._jdf.queryExecution().executedPlan().toString()
+    plan = df.where(must_match(F.col("text"), strict))._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(text,ب)" in plan
 
 
