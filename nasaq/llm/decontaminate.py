@@ -6,7 +6,7 @@ If a share t of an item's n shingles lies in a document, at most
 n - ceil(t * n) are absent, so of its k retained values at least
 k - (n - ceil(t * n)) are found: probing for retained values loses no item.
 Documents probe only partitions that they are large enough for, and what is
-found is verified with exact shingle containment.
+found is verified with exact shingle containment, on 128 bits a shingle.
 """
 
 from __future__ import annotations
@@ -29,13 +29,20 @@ MAX_BROADCAST_BYTES = 32 << 20
 _FILTER_BITS = 20
 
 
+def _lanes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of a text's words."""
+    o = np.array([0, len(x)], np.int64)
+    return word_hashes(x, o)[0], word_hashes(x, o, 1)[0]
+
+
 class _Partition:
     """Items whose shingle counts lie in one power of two, all of one shingle width."""
 
-    def __init__(self, width: int, items: list[tuple[int, np.ndarray]], t: float):
+    def __init__(self, width: int, items: list[tuple[int, np.ndarray, frozenset]], t: float):
         self.width = width
-        self.ids = [i for i, _ in items]
-        self.sets = [s for _, s in items]
+        self.ids = [i for i, _, _ in items]
+        self.sets = [s for _, s, _ in items]
+        self.pairs = [p for _, _, p in items]
         self.least = min(math.ceil(t * len(s) - 1e-9) for s in self.sets)  # a document with fewer shingles can't contain any
         kept, owner, need = [], [], []
         largest = max(len(s) for s in self.sets)
@@ -57,13 +64,13 @@ class Index:
         self.t, self.widths = t, {}
         sized: dict[tuple[int, int], list] = {}
         for i, text in items:
-            x = np.frombuffer((text or "").encode("utf-8"), np.uint8)
-            h, _ = word_hashes(x, np.array([0, len(x)], np.int64))
+            h, g = _lanes(np.frombuffer((text or "").encode("utf-8"), np.uint8))
             if not len(h):
                 continue
             w = min(width, len(h))
-            s = np.unique(shingles(h, w))
-            sized.setdefault((w, len(s).bit_length()), []).append((i, s))
+            every = shingles(h, w)
+            s = np.unique(every)
+            sized.setdefault((w, len(s).bit_length()), []).append((i, s, frozenset(zip(every.tolist(), shingles(g, w).tolist()))))
         for (w, _), own in sorted(sized.items()):
             self.widths.setdefault(w, []).append(_Partition(w, own, t))
         self.filters = {}
@@ -73,8 +80,9 @@ class Index:
                 table[(p.values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
             self.filters[w] = table
 
-    def search(self, h: np.ndarray, wo: np.ndarray) -> dict[int, list[tuple[int, float]]]:
-        """{text: [(item, containment)]} over the word hashes of several texts."""
+    def search(self, x: np.ndarray, o: np.ndarray) -> dict[int, list[tuple[int, float]]]:
+        """{text: [(item, containment)]} over the bytes and offsets of several texts."""
+        h, wo = word_hashes(x, o)
         found: dict[int, list] = {}
         for w, parts in self.widths.items():
             every = shingles(h, w)
@@ -97,11 +105,11 @@ class Index:
                     which = which[hits >= p.need[which]]
                     if not len(which):
                         continue
-                    text = np.unique(every[wo[d] : wo[d + 1] - w + 1])
+                    text = every[wo[d] : wo[d + 1] - w + 1]
+                    second = shingles(_lanes(x[o[d] : o[d + 1]])[1], w)
                     for j in which.tolist():
-                        s = p.sets[j]
-                        at_s = np.minimum(np.searchsorted(text, s), len(text) - 1)
-                        share = float((text[at_s] == s).mean())
+                        own = np.flatnonzero(np.isin(text, p.sets[j]))
+                        share = len(p.pairs[j].intersection(zip(text[own].tolist(), second[own].tolist()))) / len(p.pairs[j])
                         if share >= self.t - 1e-12:
                             found.setdefault(d, []).append((p.ids[j], share))
         return found
@@ -131,8 +139,7 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold:
 
         def make(b: pa.RecordBatch, index=index) -> list[pa.Array]:
             x, o = text_bytes(b.column(0))
-            h, wo = word_hashes(x, o)
-            found = index.value.search(h, wo)
+            found = index.value.search(x, o)
             ids = [sorted({i for i, _ in found.get(d, [])}) for d in range(b.num_rows)]
             best = [max((s for _, s in found.get(d, [])), default=0.0) for d in range(b.num_rows)]
             return [pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())]

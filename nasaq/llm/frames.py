@@ -119,12 +119,12 @@ def add_columns(
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and int64 offsets of a string column; a null is empty."""
+    """Bytes and int64 offsets of a string (UTF-8) or binary column; a null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if pa.types.is_string(col.type):
+    if pa.types.is_string(col.type) or pa.types.is_binary(col.type):
         kind = np.int32
-    elif pa.types.is_large_string(col.type):
+    elif pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type):
         kind = np.int64
     else:
         col, kind = col.cast(pa.string()), np.int32
@@ -137,7 +137,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if col.null_count:  # what lies under a null is undefined
         ok = np.asarray(col.is_valid())
         if np.any(np.diff(o)[~ok]):
-            return text_bytes(col.fill_null(""))
+            return text_bytes(col.fill_null(b"" if "binary" in str(col.type) else ""))
     return x, o
 
 

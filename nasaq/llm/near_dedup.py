@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import discard, pick, stage, text_bytes
-from .words import mix, text_shingles, word_hashes
+from .words import mix, text_pairs, text_shingles, word_hashes
 
 #: Retained values: the bottom K of the hash over a document's shingles.
 K = 256
@@ -108,12 +108,11 @@ def _sketches(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, o = text_bytes(b.column(1))
-            h, wo = word_hashes(x, o)
             n, sig, keys, sketch, bits = [], [], [], [], []
-            for sh in text_shingles(h, wo, width):
-                s = np.unique(sh)
+            for s, t in text_pairs(x, o, width):
                 n.append(len(s))
-                sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sig.append(xxhash.xxh3_128_digest(s.tobytes() + t.tobytes()) if len(s) else None)
+                s = np.unique(s)
                 keys.append(list_keys(s, percent))
                 sketch.append(s[:ESTIMATE].tobytes())
                 bits.append((*bit_signature(s), *parity_signature(s)))
@@ -125,23 +124,38 @@ def _sketches(width: int, percent: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, whole: bool = False):
+    """(id, s): each text's set, of 64-bit values, or ``whole`` with those of the second lane after them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, o = text_bytes(b.column(1))
-            h, wo = word_hashes(x, o)
-            sets = [np.unique(s).tobytes() for s in text_shingles(h, wo, width)]
+            if whole:
+                sets = [s.tobytes() + t.tobytes() for s, t in text_pairs(x, o, width)]
+            else:
+                h, wo = word_hashes(x, o)
+                sets = [np.unique(s).tobytes() for s in text_shingles(h, wo, width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     return run
 
 
+def _buffers(b: pa.RecordBatch, *columns: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The 64-bit values of each row's binary columns, as views of the batch."""
+    views = []
+    for c in columns:
+        x, o = text_bytes(b.column(c))
+        views.append((x, o.tolist()))
+    for i in range(b.num_rows):
+        yield tuple(x[o[i] : o[i + 1]].view(_U) for x, o in views)
+
+
 def _near(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i, (sa, sb) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                u = np.sort(np.concatenate([np.frombuffer(sa, _U), np.frombuffer(sb, _U)]))
+            for i, (sa, sb) in enumerate(_buffers(b, 2, 3)):
+                u = np.sort(np.concatenate([sa, sb]))
                 same = u[1:] == u[:-1]
                 union = np.append(u[:-1][~same], u[-1])[:k]
                 both = int((u[:-1][same] <= union[-1]).sum())
@@ -155,9 +169,12 @@ def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i, (sa, sb) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                u = np.sort(np.concatenate([np.frombuffer(sa, _U), np.frombuffer(sb, _U)]))
-                both = int((u[1:] == u[:-1]).sum())
+            for i, (sa, sb) in enumerate(_buffers(b, 2, 3)):
+                na, nb = len(sa) // 2, len(sb) // 2
+                u, v = np.concatenate([sa[:na], sb[:nb]]), np.concatenate([sa[na:], sb[nb:]])
+                by = np.argsort(u, kind="stable")
+                u, v = u[by], v[by]
+                both = int(((u[1:] == u[:-1]) & (v[1:] == v[:-1])).sum())
                 keep[i] = 100 * both >= percent * (len(u) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
@@ -169,7 +186,7 @@ _FEW_IDS = 1_000_000
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
+    """The pairs (a, b) whose full sets, of 128-bit values, are similar."""
     sk = reps.select(F.col("doc_id").alias("id"), "sketch")
     half = pairs.join(sk, pairs.a == sk.id).select("a", "b", F.col("sketch").alias("x"))
     est = half.join(sk, half.b == sk.id).select("a", "b", "x", F.col("sketch").alias("y"))
@@ -178,7 +195,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, pe
     ids = stage(ids, f"{name}-ids")
     few = ids.count() <= _FEW_IDS
     own = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.id, "left_semi")
-    sets = stage(own.mapInArrow(_sets(width), "id long, s binary"), f"{name}-sets")
+    sets = stage(own.mapInArrow(_sets(width, True), "id long, s binary"), f"{name}-sets")
     half = near.join(sets, near.a == sets.id).select("a", "b", F.col("s").alias("x"))
     full = half.join(sets, half.b == sets.id).select("a", "b", "x", F.col("s").alias("y"))
     links = stage(full.mapInArrow(_exact(percent), "a long, b long"), f"{name}-links")
@@ -210,33 +227,71 @@ def _changes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nh, r, g, near, ch = [], [], [], [], []
-            for sa, sh in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                a, h = np.frombuffer(sa, _U), np.frombuffer(sh, _U)
+            for a, h in _buffers(b, 2, 3):
                 lacks, besides = np.setdiff1d(h, a, assume_unique=True), np.setdiff1d(a, h, assume_unique=True)
                 nh.append(len(h))
                 r.append(len(lacks))
                 g.append(len(besides))
                 near.append(100 * (len(h) - len(lacks)) >= (NEAR - 100 + percent) * (len(h) + len(besides)))
-                ch.append(np.concatenate([lacks, besides]).view(np.int64) if near[-1] else np.zeros(0, np.int64))
+                ch.append(np.concatenate([lacks, besides]) if near[-1] else np.zeros(0, _U))
             far = [100 * (n - x) < NEAR * (n + y) for n, x, y in zip(nh, r, g)]
-            off = np.concatenate([[0], np.cumsum([len(c) for c in ch])]).astype(np.int32)
-            cols = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (nh, r, g)), *(pa.array(x, pa.bool_()) for x in (near, far)), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ch) if ch else np.zeros(0, np.int64)))]
+            cols = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (nh, r, g)), *(pa.array(x, pa.bool_()) for x in (near, far)), pa.array([c.tobytes() for c in ch], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "nh", "r", "g", "near", "far", "ch"])
 
     return run
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Counters of a count sketch: its size is fixed, however many values are counted.
+COUNTERS = 1 << 18
+
+
+def _counter(h, v: np.ndarray) -> np.ndarray:
+    """The counter of each value v of hub h."""
+    with np.errstate(over="ignore"):
+        return (mix(v ^ mix(np.array([h], np.int64).view(_U) + _U(0x3C6EF372FE94F82B))) % _U(COUNTERS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, n): how many of a task's values (h, s binary) each counter has."""
+    n = np.zeros(COUNTERS, np.int64)
     for b in batches:
-        for h, i, s in zip(*(c.to_pylist() for c in b.columns)):
-            v = np.frombuffer(s, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), h, np.int64)), pa.array(np.full(len(v), i)), pa.array(v)], names=["h", "id", "v"])
+        for h, (s,) in zip(b.column(0).to_pylist(), _buffers(b, 1)):
+            n += np.bincount(_counter(h, s), minlength=COUNTERS) if len(s) > COUNTERS // 16 else 0
+            if len(s) <= COUNTERS // 16:
+                np.add.at(n, _counter(h, s), 1)
+    i = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n[i])], names=["i", "n"])
+
 
+def _frequencies(values: DataFrame):
+    """A broadcast count sketch of the values (h, s): COUNTERS numbers at most, by one aggregation of each task's counters."""
+    rows = values.mapInArrow(_counted, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(COUNTERS, np.int64)
+    n[rows["i"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return values.sparkSession.sparkContext.broadcast(np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
 
-def _rarest(values: DataFrame, own: list[str]) -> DataFrame:
-    """(own..., s): the values that others have too, as (frequency, value), rarest first; ``values`` has own... and v, others those of the same h."""
-    often = values.groupBy("h", "v").agg(F.count("*").alias("f")).where("f > 1")
-    return values.join(often, ["h", "v"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s"))
+
+def _prefixes(often):
+    """(h, id, ks): of rows (h, id, n, s) the n rarest values by the sketch, ties by value, as list keys.
+
+    A prefix filter needs one total order that all sets share, not exact
+    frequencies; the sketch only keeps lists short.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, n, (s,) in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _buffers(b, 3)):
+                by = np.lexsort((s, often.value[_counter(h, s)]))[: max(n, 0)]
+                out.append(mix(s[by] ^ mix(np.array([h], np.int64).view(_U))).view(np.int64))
+            off = np.concatenate([[0], np.cumsum([len(k) for k in out])]).astype(np.int32)
+            ks = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ks], names=["h", "id", "ks"])
+
+    return run
+
+
+_PREFIX = "h long, id long, ks array<long>"
 
 
 def _change_lists(long: DataFrame, weight: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
@@ -264,30 +319,34 @@ def _change_lists(long: DataFrame, weight: DataFrame, texts: DataFrame, width: i
     sets = stage(some.mapInArrow(_sets(width), "id long, s binary"), "near-hub-sets")
     of_hub = sets.select(F.col("id").alias("h"), F.col("s").alias("sh"))
     both = own.select(F.col("a.id").alias("id"), "h").join(sets, "id").join(of_hub, "h").select("h", "id", F.col("s").alias("sa"), "sh")
-    ch = stage(both.mapInArrow(_changes(percent), "h long, id long, nh long, r long, g long, near boolean, far boolean, ch array<long>").repartition("h", "id"), "near-changes")
+    ch = stage(both.mapInArrow(_changes(percent), "h long, id long, nh long, r long, g long, near boolean, far boolean, ch binary").repartition("h", "id"), "near-changes")
     cost, room = 100 * F.col("r") + percent * F.col("g"), (100 - percent) * F.col("nh")
     links = ch.where(cost <= room).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
 
-    near = ch.where("near")
-    shared = _rarest(near.select("h", "id", F.explode("ch").alias("v")), ["h", "id"])
-    alone = F.size("ch") - F.size("s")  # changes of one set alone count among its rarest
-    as_y = F.size("ch") - F.floor(cost / (100 + percent)) - alone
-    as_x = F.when(cost > room, F.size("ch") - F.greatest(F.lit(1), F.ceil((cost - room) / 100)) + 1 - alone).otherwise(0)
-    slots = near.join(shared, ["h", "id"]).select("h", "id", "s", as_x.cast("int").alias("nx"), as_y.cast("int").alias("ny")).where("nx > 0 OR ny > 0")
-    kept = slots.select("h", "id", "nx", "ny", F.posexplode(F.slice("s", 1, F.greatest("nx", "ny"))).alias("i", "x"))
-    kept = kept.select("h", "id", F.xxhash64("h", F.col("x.v")).alias("key"), (F.col("i") < F.col("nx")).alias("x"), (F.col("i") < F.col("ny")).alias("y"))
+    near, size = ch.where("near"), F.octet_length("ch") / 8
+    as_y = size - F.floor(cost / (100 + percent))
+    as_x = F.when(cost > room, size - F.greatest(F.lit(1), F.ceil((cost - room) / 100)) + 1).otherwise(0)
+    near = near.select("h", "id", as_x.cast("int").alias("nx"), as_y.cast("int").alias("ny"), "ch")
+    often = _frequencies(near.select("h", "ch"))
+    slots = near.select("h", "id", F.greatest("nx", "ny").alias("n"), "ch").where("n > 0").mapInArrow(_prefixes(often), _PREFIX)
     of = own.select(F.col("h").alias("h2"), F.col("a.id").alias("id2"), "a", "c")
-    changed = kept.join(of, (F.col("h") == F.col("h2")) & (F.col("id") == F.col("id2"))).select("key", "a", "c", "x", "y")
+    roles = near.select(F.col("h").alias("h3"), F.col("id").alias("id3"), "nx", "ny")
+    one = slots.join(of, (F.col("h") == F.col("h2")) & (F.col("id") == F.col("id2"))).join(roles, (F.col("h") == F.col("h3")) & (F.col("id") == F.col("id3")))
+    one = stage(one.select("ks", "a", "c", "nx", "ny"), "near-prefixes")  # one row a set: lists are dealt out after the joins
+    changed = one.select("a", "c", "nx", "ny", F.posexplode("ks").alias("i", "key")).select("key", "a", "c", (F.col("i") < F.col("nx")).alias("x"), (F.col("i") < F.col("ny")).alias("y"))
 
     far = ch.where("far").select(F.col("id").alias("far_id")).distinct()
     far = own.select("a", "c").distinct().join(far, F.col("a.id") == F.col("far_id")).select("a", "c", "far_id")
-    values = sets.join(far.select("far_id"), F.col("id") == F.col("far_id")).select(F.lit(0).alias("h"), "id", "s").mapInArrow(_values, "h long, id long, v long")
-    shared = _rarest(values, ["id"])
     least = F.floor((percent * F.col("a.n") + 99) / 100)
-    slots = (F.size("s") - least + 1).cast("int")
-    rare = shared.join(far, F.col("id") == F.col("far_id")).select("a", "c", F.explode(F.slice("s", 1, F.greatest(slots, F.lit(0)))).alias("x"))
-    rare = rare.select(F.xxhash64(F.col("x.v"), F.lit("rare")).alias("key"), "a", "c", F.lit(True).alias("x"), F.lit(True).alias("y"))
-    return changed, rare, links, ch.select(F.col("id").alias("h_id"), "h", "near"), [own, ids, sets, ch]
+    values = sets.join(far, F.col("id") == F.col("far_id")).select(F.lit(0).cast("long").alias("h"), "id", (F.col("a.n") - least + 1).cast("int").alias("n"), "s")
+    values = stage(values, "near-far-sets")
+    often = _frequencies(values.select("h", "s"))
+    slots = values.mapInArrow(_prefixes(often), _PREFIX)
+    rest = stage(slots.join(far, F.col("id") == F.col("far_id")).select("ks", "a", "c"), "near-far-prefixes")
+    yes = F.lit(True)
+    rare = rest.select(F.explode("ks").alias("key"), "a", "c", yes.alias("x"), yes.alias("y"))
+    used = [own, ids, sets, ch, one, values, rest]
+    return changed, rare, links, ch.select(F.col("id").alias("h_id"), "h", "near"), used
 
 
 def _mixed(lists: DataFrame, name: str) -> DataFrame:
@@ -351,8 +410,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     changed, rare = _mixed(changed, "near-changed"), _mixed(rare, "near-rare")
     cross = cross.union(_pairs(changed, None, percent))
     cross = cross.union(_pairs(rare, hubs.where("near"), percent)).distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti").join(hub_links, ["a", "b"], "left_anti")
-    more = _confirm(cross, reps, texts, width, percent, "near-cross").union(hub_links)
+    cross = cross.union(hub_links).distinct().join(star, ["a", "b"], "left_anti")
+    more = _confirm(cross, reps, texts, width, percent, "near-cross")
     discard(*used, changed, rare, rest, lists, star, reps)
 
     comps = connected_components(first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

@@ -3,11 +3,17 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; both are exact on
 bytes.  Everything works on whole texts: large batches go through in slabs cut
 at white space, so temporary memory is bounded by the slab, not by the text.
+
+Short words have a polynomial hash modulo 2^64, all at once.  Such hashes have
+equal values for some long words of few letters, so words of over LONG bytes
+have xxh3 of their bytes instead.  ``lane`` 0 and 1 are two independent hashes;
+both together are 128 bits, on which operators confirm what they find.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 SLAB = 1 << 20
@@ -17,19 +23,22 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_P = U(0x9E3779B97F4A7C15 | 1)
-_PI = U(pow(int(_P), -1, 1 << 64))
-_tables: dict[str, np.ndarray] = {}
+#: Bytes of a word whose hash is a polynomial.
+LONG = 64
+#: Odd multipliers of the polynomials, one a lane.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("p", ())) < n:
+def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a lane's multiplier and of its inverse."""
+    if lane not in _tables or len(_tables[lane][0]) < n:
         with np.errstate(over="ignore"):
-            p = np.full(n, _P, U)
-            i = np.full(n, _PI, U)
+            p = np.full(n, _BASES[lane], U)
+            i = np.full(n, pow(_BASES[lane], -1, 1 << 64), U)
             p[0] = i[0] = 1
-            _tables["p"], _tables["i"] = np.multiply.accumulate(p), np.multiply.accumulate(i)
-    return _tables["p"], _tables["i"]
+            _tables[lane] = np.multiply.accumulate(p), np.multiply.accumulate(i)
+    return _tables[lane]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,7 +49,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(31))
 
 
-def _slab_words(x: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slab_words(x: np.ndarray, cut: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of x; ``cut`` marks places where a text begins."""
     word = ~SPACE[x]
     begin = word.copy()
@@ -54,16 +63,18 @@ def _slab_words(x: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     s, e = np.flatnonzero(begin), np.flatnonzero(end)
     if not len(s):
         return np.zeros(0, U), s
-    p, inv = _powers(max(SLAB, len(x)))
+    p, inv = _powers(max(SLAB, len(x)), lane)
     with np.errstate(over="ignore"):
         c = np.cumsum((x.astype(U) + U(1)) * p[: len(x)], dtype=U)
         h = c[e]
         h[s > 0] -= c[s[s > 0] - 1]
-        h = h * inv[s] + (e - s + 1).astype(U) * U(0xD6E8FEB86659FD93)
-    return mix(h), s
+        h = mix(h * inv[s] + (e - s + 1).astype(U) * U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(e - s >= LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(x[s[i] : e[i] + 1].tobytes(), seed=lane)
+    return h, s
 
 
-def word_hashes(x: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(x: np.ndarray, o: np.ndarray, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts x[o[i]:o[i+1]], and each text's offsets into them."""
     lo, hi = int(o[0]), int(o[-1])
     hashes, starts, at = [], [], lo
@@ -79,7 +90,7 @@ def word_hashes(x: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     to += 1
         y = LOWER[x[at:to]]
         a, b = np.searchsorted(inner, [at, to])
-        h, s = _slab_words(y, np.unique(inner[a:b] - at))
+        h, s = _slab_words(y, np.unique(inner[a:b] - at), lane)
         hashes.append(h)
         starts.append(s + at)
         at = to
@@ -111,3 +122,17 @@ def text_shingles(h: np.ndarray, wo: np.ndarray, w: int):
     every = shingles(h, w)
     for a, b in zip(wo[:-1].tolist(), wo[1:].tolist()):
         yield every[a : b - w + 1] if b - a >= w else short_sequence(h[a:b])
+
+
+def text_pairs(x: np.ndarray, o: np.ndarray, w: int):
+    """For each text its distinct shingles as two aligned arrays, one a lane, in order of the first."""
+    lanes = []
+    for lane in (0, 1):
+        h, wo = word_hashes(x, o, lane)
+        lanes.append(text_shingles(h, wo, w))
+    for a, b in zip(*lanes):
+        by = np.lexsort((b, a)) if len(a) else np.zeros(0, np.int64)
+        a, b = a[by], b[by]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield a[new], b[new]

@@ -545,6 +545,23 @@ def test_topk_by_brute_force(spark):
 # kernels and the pipeline
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_long_words_of_few_letters_are_told_apart(spark):
+    one, two = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    x = np.frombuffer(f"{one} {two}".encode(), np.uint8)
+    for lane in (0, 1):
+        h, _ = word_hashes(x, np.array([0, len(x)], np.int64), lane)
+        assert len(set(h.tolist())) == 2
+    rows = near_dedup.groups(frame(spark, [f"x {one} y", f"x {two} y", f"x {one} y"]), width=2).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 0}
+    items = spark.createDataFrame([(1, one)], "item_id long, text string")
+    found = {r.doc_id: list(r.item_ids) for r in decontaminate.find_items(frame(spark, [f"x {one} y", f"x {two} y"]), items).collect()}
+    assert found == {0: [1], 1: []}
+
+
 def test_word_hashes_across_slabs(monkeypatch):
     from nasaq.llm import words
 
