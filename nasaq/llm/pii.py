@@ -13,6 +13,8 @@ overflows the stack, and none is tried anew at each character of a run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,19 +40,47 @@ FEW_BYTES = 16 << 20
 _SPAN = "struct<kind:int,s:int,e:int,v:string>"
 
 
-def _matches(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of a pattern's matches; between matches, ``split`` gives what lies before each."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _running(items: Column, move: Callable[[Column, Column], Column], make: Callable[[Column, Column, Column], Column], kind: str, held: Callable[[Column, Column], Column] = lambda at, end: F.lit(None).cast("string")) -> Column:
+    """array of make(at, item, held) where ``at``, from 0, runs on by move(at, item).
+
+    Arrays are immutable, so appending n items one by one copies n^2 of them;
+    items are taken in about sqrt(n) blocks of sqrt(n), which copies n^1.5.
+    ``held`` is made once a block, of the block's ``at`` before and after.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
 
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"))
+    def of(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x["i"]) - 1) / x["n"]).cast("int")), lambda k: F.slice(x["i"], k * x["n"] + 1, x["n"]))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        heads = lambda every: F.aggregate(every, first, lambda acc, one: F.struct(F.aggregate(one, acc["at"], move).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["g"])
-        e = s + F.char_length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("v"))).alias("out"))
+        def block(one: Column, at: Column) -> Column:
+            def walk(kept: Column) -> Column:
+                start = F.struct(at.alias("at"), none.alias("out"))
+                step = lambda acc, y: F.struct(move(acc["at"], y).alias("at"), F.array_append(acc["out"], make(acc["at"], y, kept["v"])).alias("out"))
+                return F.aggregate(one, start, step)["out"]
 
-    return F.when(F.size(found) > 0, F.aggregate(both, start, add)["out"]).otherwise(F.array().cast(f"array<{_SPAN}>"))
+            return _let(F.struct(held(at, F.aggregate(one, at, move)).alias("v")), walk)
+
+        return _let(blocks, lambda every: F.flatten(F.zip_with(every, heads(every), block)))
+
+    return F.when(F.size(items) > 0, _let(F.struct(items.alias("i"), size.alias("n")), of)).otherwise(none)
+
+
+def _matches(text: Column, pattern: str, kind: int) -> Column:
+    """Spans of a pattern's matches; between matches, ``split`` gives what lies before each."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    zipped = _let(both, lambda z: F.arrays_zip(F.slice(z["g"], 1, F.size(z["m"])).alias("g"), z["m"].alias("m")))
+    start = lambda at, x: at + F.char_length(x["g"])
+    end = lambda at, x: start(at, x) + F.char_length(x["m"])
+    span = lambda at, x, _: F.struct(F.lit(kind).alias("kind"), start(at, x).alias("s"), end(at, x).alias("e"), x["m"].alias("v"))
+    return _let(zipped, lambda items: _running(items, end, span, _SPAN))
 
 
 def _digits(v: Column) -> Column:
@@ -148,8 +178,8 @@ def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE
     return of_term.join(reached, ["t_set", "n_term"], "left_semi").select("term")
 
 
-def _occurrences(docs: DataFrame, reveal: DataFrame) -> DataFrame:
-    """(h, terms): spans of all occurrences of the terms, in order, for each distinct text that has one."""
+def _occurrences(docs: DataFrame, found: DataFrame, reveal: DataFrame) -> DataFrame:
+    """(h, terms): spans of all occurrences of the terms outside base spans, in order, for each distinct text that has one."""
     reveal = _few(reveal, "64L + octet_length(term)")
     hit = _texts(docs).select("h", F.explode(_words(F.col("text"))).alias("term")).join(reveal, "term", "left_semi").select("h").distinct()
     hit = _few(stage(hit, "pii-hit"), "64L")
@@ -160,8 +190,14 @@ def _occurrences(docs: DataFrame, reveal: DataFrame) -> DataFrame:
     # where a word ends is a running sum, which takes time in proportion to the text
     end = F.sum(F.char_length("x.g") + F.char_length("x.v")).over(Window.partitionBy("h").orderBy("at")).cast("int")
     spans = parts.select("h", F.col("x.v").alias("v"), end.alias("e")).where(F.char_length("v") >= TERM_LETTERS).withColumn("term", F.lower("v")).join(reveal, "term", "left_semi")
-    span = F.struct(F.lit(KINDS.index("term")).alias("kind"), (F.col("e") - F.char_length("v")).alias("s"), "e", "v")
-    return spans.groupBy("h").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    spans = spans.select("h", (F.col("e") - F.char_length("v")).alias("s"), "e", "v")
+    base = found.where(F.size("base") > 0).select("h", "base").dropDuplicates(["h"]).select("h", F.explode("base").alias("b")).select("h", "b.s", "b.e", F.lit(None).cast("string").alias("v"))
+    # inside a base span: the furthest end of those that begin no later is no nearer than the term's
+    order = Window.partitionBy("h").orderBy("s", F.col("v").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    cover = F.max(F.when(F.col("v").isNull(), F.col("e"))).over(order)
+    out = spans.union(base).withColumn("cover", cover).where("v IS NOT NULL AND (cover IS NULL OR cover < e)")
+    span = F.struct(F.lit(KINDS.index("term")).alias("kind"), "s", "e", "v")
+    return out.groupBy("h").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -173,10 +209,9 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """
     found = _found(docs)
     reveal = stage(disclosing(docs, found, disclosure), "pii-disclosing")
-    own = stage(_occurrences(docs, reveal), "pii-occurrences")
+    own = stage(_occurrences(docs, found, reveal), "pii-occurrences")
     own = _few(own, "aggregate(terms, 64L, (n, x) -> n + 64 + octet_length(x.v))").select(F.col("h").alias("h2"), "terms")
-    inside = lambda t: F.exists("base", lambda b: (b["s"] <= t["s"]) & (t["e"] <= b["e"]))
-    terms = F.filter(F.coalesce("terms", F.array().cast(f"array<{_SPAN}>")), lambda t: ~inside(t))
+    terms = F.coalesce("terms", F.array().cast(f"array<{_SPAN}>"))
     return found.join(own, F.col("h") == F.col("h2"), "left").select("doc_id", "h", F.concat("base", terms).alias("spans"))
 
 
@@ -191,16 +226,16 @@ def redact(text: Column, spans: Column) -> Column:
     """The text with base spans generalised to their kind and disclosing terms removed to ``<TERM>``; overlaps become one."""
     tags = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), x["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    move = lambda at, x: F.greatest(at, -x["ne"])
 
-    def step(acc: Column, x: Column) -> Column:
-        end = -x["ne"]
-        new = x["s"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        out = F.when(new, F.concat(acc["out"], F.array(gap, F.element_at(tags, x["kind"] + 1)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], end).alias("at"), out.alias("out"))
+    def piece(at: Column, x: Column, kept: Column) -> Column:
+        # places count from where the block began; a substring of the whole text would be sought from its start each time
+        gap = F.substring(kept["t"], at - kept["from"] + 1, F.greatest(x["s"] - at, F.lit(0)))
+        return F.when(x["s"] >= at, F.concat(gap, F.element_at(tags, x["kind"] + 1))).otherwise("")
 
-    done = F.aggregate(ordered, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    held = lambda at, end: F.struct(at.alias("from"), F.substring(text, at + 1, end - at).alias("t"))
+    tail = lambda o: F.substring(text, F.aggregate(o, F.lit(0), move) + 1, F.char_length(text))
+    done = _let(ordered, lambda o: F.concat(F.array_join(_running(o, move, piece, "string", held), ""), tail(o)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
