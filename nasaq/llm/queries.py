@@ -54,7 +54,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = pick(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     return topk.top_k(v, v.where("vec_id % 50 = 0"))
 
 

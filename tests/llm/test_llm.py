@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -489,6 +490,17 @@ def test_pii_terms_by_brute_force(spark, monkeypatch, docs, few):
     assert clean[0].startswith("<TERM> <TERM> <TERM>. nothing to see here") and clean[0].endswith("<EMAIL> or <IP>. Or ask <TERM>")
 
 
+def test_pii_many_matches_in_one_text(spark):
+    n = 100_000
+    text = "".join(f"u{i % 7}@e.org " for i in range(n))
+    began = time.time()
+    r = pii.report(frame(spark, [text])).select("n_email", "base_sha256").first()
+    want = ",".join(f"email:{i * 9}:{i * 9 + 8}" for i in range(n))
+    assert r.n_email == n and r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert pii.sanitise(frame(spark, [text])).first().text == "<EMAIL> " * n
+    assert time.time() - began < 60
+
+
 def test_pii_plan_is_native(spark, docs):
     plan = pii.find(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -545,6 +557,48 @@ def test_topk_by_brute_force(spark):
 # kernels and the pipeline
 
 
+def test_topk_repeated_rows_and_clashing_names(spark, tmp_path):
+    rows = [(0, [0.0]), (0, [0.0]), (1, [1.0]), (2, [2.0]), (2, [2.0]), (50, [3.0]), (50, [-3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=4, query_block=1).collect())
+    # 50 counts as the query -3; a query's own rows are no candidates
+    want = [(0, 1, 1, 0), (0, 2, 2, 0), (0, 3, 2, 0), (0, 4, 50, 0), (50, 1, 0, 0), (50, 2, 0, 0), (50, 3, 1, -768 * 256), (50, 4, 2, -768 * 512)]
+    assert got == want
+    assert got == sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=4, query_block=1, slice_bytes=1).collect())
+    spark.createDataFrame([(i, [float(i)], -i) for i in range(120)], "vec_id long, embedding array<float>, `EMBEDDING_` long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    clashing = spark.read.parquet(str(tmp_path / "embeddings.parquet")).withColumnRenamed("EMBEDDING_", "VEC_ID")
+    assert topk.top_k(clashing, clashing).count() == 120 * 5 and topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_topk_skips_products():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 60, (40, 32))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 8, (4000, 32)))
+    by, starts = topk.tiled(x)
+    x = x[by]
+    ids, q = np.arange(4000), np.arange(0, 4000, 50)
+    score = x[q] @ x.T
+    score[np.arange(len(q)), q] = -np.inf
+    want = {(int(a), int(v)) for a, row in zip(q, score) for v in np.argsort(-row, kind="stable")[:5]}
+    _, _, s = topk.gather(q, x[q], ids, x, starts, 5, 4)
+    cut = s.reshape(-1, 5)[:, 4].astype(float)
+    assert (cut <= np.sort(score, axis=1)[:, -5]).all()
+    (hq, hv, _), made = topk.resolve(q, x[q], ids, x, starts, cut, 5, 4)
+    assert set(zip(hq.tolist(), hv.tolist())) == want
+    print(made / (len(q) * x.size))
+    assert made < 0.25 * len(q) * x.size  # products made, of those without the cutoff
+
+
+def test_topk_large_components():
+    x = np.floor(np.random.default_rng(6).normal(0, 2**27, (150, 8)))
+    x = x[topk.tiled(x)[0]]
+    ids = np.arange(150)
+    (hq, hv, hs), _ = topk.resolve(ids[:3], x[:3], ids, x, topk.tiled(x)[1], np.full(3, -np.inf), 2, 4)
+    for i in range(3):
+        every = sorted(((-sum(int(a) * int(b) for a, b in zip(x[i], y)), j) for j, y in enumerate(x) if j != i))[:2]
+        assert [(-int(a), int(b)) for a, b in zip(hs[hq == i], hv[hq == i])] == every
+
+
 def thue_morse(n, a, b):
     return "".join(b if i.bit_count() % 2 else a for i in range(n))
 
