@@ -3,7 +3,7 @@
 A pre-token is looked up in two tiers.  A minimal perfect hash over the
 vocabulary resolves it when it is a token itself; a miss is merged with a heap
 of pair ranks over doubly linked bytes.  Pre-tokens repeat, so each worker
-keeps a bounded memory of resolved ones.
+keeps a bounded memory of resolved ones (``pretokens``).
 """
 
 from __future__ import annotations
@@ -12,22 +12,21 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .frames import add_columns, pick, unclash
+from .pretokens import Cutter, Memory
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Resolved pre-tokens that a worker remembers; then it starts afresh.
-MEMORY = 300_000
-#: Pre-tokens of one text that are handled at once.
-SLICE = 200_000
+#: Resolved pre-tokens that a worker remembers; then it forgets those of more than one id.
+MEMORY = 1_000_000
+#: Texts that are encoded at once.
+TEXTS = 256
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -132,41 +131,32 @@ def merge_bytes(b: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """Pre-token (str) -> its ids as little-endian uint32 bytes, resolved when first asked for."""
+class Encoder:
+    """Ids of whole texts; each distinct pre-token is resolved in two tiers while it is remembered."""
 
     def __init__(self, path: str, split: str):
-        super().__init__()
         self.ranks = load_ranks(path)
         self.perfect = PerfectHash(list(self.ranks), list(self.ranks.values()))
         self.pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for k, v in self.ranks.items():
             self.pieces[v] = k
-        self.split = regex.compile(split)
-
-    def __missing__(self, token: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        b = token.encode("utf-8")
-        i = self.perfect.get(b)
-        ids = np.array([i] if i is not None else merge_bytes(b, self.ranks), "<u4").tobytes()
-        if len(b) <= 64:
-            self[token] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian uint32 bytes."""
-        if len(text) <= SLICE:
-            return b"".join(map(self.__getitem__, self.split.findall(text)))
-        found = (m.group() for m in self.split.finditer(text))
+        self.memory = Memory(Cutter(split, []), self._resolve, np.dtype("<u4"), MEMORY)
+
+    def _resolve(self, words: list[str]) -> list[np.ndarray]:
         out = []
-        while some := list(islice(found, SLICE)):
-            out.append(b"".join(map(self.__getitem__, some)))
-        return b"".join(out)
+        for w in words:
+            b = w.encode("utf-8")
+            i = self.perfect.get(b)
+            out.append(np.array([i] if i is not None else merge_bytes(b, self.ranks), "<u4"))
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each text has) of whole texts."""
+        return self.memory.encode(texts)
 
-    def decode(self, ids: bytes) -> bytes:
+    def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
+        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
 @lru_cache(2)
@@ -186,9 +176,9 @@ def encode(docs: DataFrame, path: str | None = None, split: str | None = None) -
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         e = encoder(path, split)
-        parts = [e.encode(t or "") for t in b.column(0).to_pylist()]
-        off = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(parts), np.int32)))]
+        ids, n = e.encode([t or "" for t in b.column(0).to_pylist()])
+        off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))]
 
     return add_columns(unclash(docs, ["text"], ["ids"]), [T.StructField("ids", T.ArrayType(T.IntegerType()))], make, ["text"])
 
@@ -199,7 +189,7 @@ def decode(rows: DataFrame, path: str | None = None, split: str | None = None) -
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         e = encoder(path, split)
-        return [pa.array([e.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(0).to_pylist()], pa.binary())]
+        return [pa.array([e.decode(np.array(x or [], "<u4")) for x in b.column(0).to_pylist()], pa.binary())]
 
     return add_columns(unclash(rows, ["ids"], ["decoded"]), [T.StructField("decoded", T.BinaryType())], make, ["ids"])
 
@@ -214,11 +204,13 @@ def round_trip(docs: DataFrame, path: str | None = None, split: str | None = Non
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         e = encoder(path, split)
         n, a, d = [], [], []
-        for t in b.column(0):
-            ids = e.encode(t.as_py() or "")
-            n.append(len(ids) // 4)
-            a.append(hashlib.sha256(ids).hexdigest())
-            d.append(hashlib.sha256(e.decode(ids)).hexdigest())
+        for s in range(0, b.num_rows, TEXTS):
+            every, count = e.encode([t or "" for t in b.column(0)[s : s + TEXTS].to_pylist()])
+            n += count.tolist()
+            for end, k in zip(np.cumsum(count).tolist(), count.tolist()):
+                ids = every[end - k : end]
+                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                d.append(hashlib.sha256(e.decode(ids)).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -17,7 +17,7 @@ def _both(e: DataFrame) -> DataFrame:
 
 
 def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ MAX_LANGUAGES = 2000
 ROUNDS = 8
 #: Neighbouring trigrams share bytes, so log-likelihoods count a third.
 OVERLAP = 3.0
-SLAB = 1 << 20
+SLAB = 1 << 18
 _PROBABILITY_FLOOR = 0.5
 
 

@@ -15,7 +15,6 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .token_counts import pre_tokens
 from .words import mix
 
 U = np.uint64
@@ -26,6 +25,16 @@ _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def pre_tokens(text: str, split: regex.Pattern, special: regex.Pattern | None) -> list[str]:
+    """One text's pre-tokens; special tokens go first."""
+    if special is None or not special.search(text):
+        return split.findall(text)
+    out: list[str] = []
+    for i, part in enumerate(special.split(text)):
+        out += [part] if i % 2 else split.findall(part)
+    return out
+
+
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """Class of each code point, by the regex module's character database."""
@@ -81,6 +90,11 @@ def known_starts(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+#: Characters of a text that are cut into pre-tokens at once, and of several texts together.
+SLICE = 1 << 20
+_SAFE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+
+
 class Cutter:
     """Cuts texts into pre-tokens; special tokens go first and are pre-tokens themselves."""
 
@@ -89,6 +103,18 @@ class Cutter:
         self.find, self.special = regex.compile(split), special
         self.first = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
+    def pieces(self, text: str) -> list[str]:
+        """A long text cut where a blank between letters begins a pre-token anyway; others as they are."""
+        if len(text) <= SLICE or not self.known:
+            return [text]
+        out, at = [], 0
+        while at < len(text):
+            m = _SAFE.search(text, at + SLICE) if len(text) - at > SLICE else None
+            end = m.start() if m else len(text)
+            out.append(text[at:end])
+            at = end
+        return out
+
     def _slow(self, text: str) -> np.ndarray:
         own = pre_tokens(text, self.find, self.first)
         n = [len(w) for w in own if w]
@@ -195,6 +221,32 @@ class Memory:
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each text has), whole texts in order; ``end`` is appended to each."""
+        ids, count, batch, size = [], [], [], 0
+        for t in texts:
+            if batch and size + len(t) > SLICE:
+                self._add(batch, end, ids, count)
+                batch, size = [], 0
+            pieces = self.cutter.pieces(t) if len(t) > SLICE and not any(x in t for x in self.cutter.special) else [t]
+            if len(pieces) > 1:
+                before = sum(map(len, ids))
+                for p in pieces[:-1]:
+                    self._add([p], None, ids, [])
+                self._add(pieces[-1:], end, ids, [])
+                count.append(np.array([sum(map(len, ids)) - before]))
+            else:
+                batch.append(t)
+                size += len(t)
+        if batch:
+            self._add(batch, end, ids, count)
+        none = np.zeros(0, self.kind), np.zeros(0, np.int64)
+        return (np.concatenate(ids), np.concatenate(count)) if count else none
+
+    def _add(self, texts: list[str], end: int | None, ids: list, count: list) -> None:
+        x, n = self._encode(texts, end)
+        ids.append(x)
+        count.append(n)
+
+    def _encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         if self.n > self.most or self.n_ids > 8 * self.most:
             self._forget()
         joined, x, starts, count = self.cutter.cut(texts)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .bpe import pattern, vocabulary_path
 from .frames import pick
+from .pretokens import pre_tokens
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Text in one chunk, in characters; a longer document is a chunk of its own.
@@ -58,15 +59,6 @@ def splitter(path: str, split: str) -> tuple[regex.Pattern, regex.Pattern | None
     return regex.compile(split), regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
 
-def pre_tokens(text: str, split: regex.Pattern, special: regex.Pattern | None) -> list[str]:
-    if special is None or not special.search(text):
-        return split.findall(text)
-    out: list[str] = []
-    for i, part in enumerate(special.split(text)):
-        out += [part] if i % 2 else split.findall(part)
-    return out
-
-
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.compress(x.tobytes(), 3)
 

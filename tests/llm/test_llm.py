@@ -342,6 +342,16 @@ def test_pre_tokens_equal_the_pattern(texts):
     assert words == [w for t in texts for w in token_counts.pre_tokens(t, c.find, c.first) if w] and sum(count) == len(words)
 
 
+def test_long_texts_are_cut_where_nothing_changes(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["ab", " ", "c", "'s", "  ", "\n", "1", "!", "\u00e9"]) for _ in range(rng.randint(0, 900))) for _ in range(30)]
+    m = pretokens.Memory(pretokens.Cutter(bpe.pattern(), []), lambda ws: [np.array([ord(c) for c in w] + [7], "<u4") for w in ws], "<u4", 1000)
+    want = m.encode(texts, end=9)
+    monkeypatch.setattr(pretokens, "SLICE", 50)
+    got = m.encode(texts, end=9)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and len(m.cutter.pieces(texts[0] + " ab ab" * 50)) > 2
+
+
 def test_memory_forgets_and_tells_equal_hashes_apart(monkeypatch):
     asked = []
 
