@@ -141,6 +141,23 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, o
 
 
+#: Bytes of text that a kernel takes at once; its arrays take many times that.
+KERNEL_BYTES = 1 << 20
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = KERNEL_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with ``most`` bytes of a column together, or one row with more; nothing is copied."""
+    for b in batches:
+        o = text_bytes(b.column(column))[1]
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(o, o[i] + most, "right")) - 1)
+            yield b.slice(i, min(j, b.num_rows) - i)
+            i = j
+        if not b.num_rows:
+            yield b
+
+
 def crc_bucket(doc_id: str, mod: int) -> "F.Column":
     """crc32 of the id's decimal text, modulo; a null id counts as remainder -1."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(mod)), F.lit(-1).cast("long"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import discard, pick, stage, text_bytes
+from .frames import by_bytes, discard, pick, stage, text_bytes
 from .words import mix, text_pairs, text_shingles, word_hashes
 
 #: Retained values: the bottom K of the hash over a document's shingles.
@@ -106,7 +106,7 @@ _SKETCH = "doc_id long, n_shingles long, sig binary, keys array<long>, sketch bi
 
 def _sketches(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             x, o = text_bytes(b.column(1))
             n, sig, keys, sketch, bits = [], [], [], [], []
             for s, t in text_pairs(x, o, width):
@@ -128,7 +128,7 @@ def _sets(width: int, whole: bool = False):
     """(id, s): each text's set, of 64-bit values, or ``whole`` with those of the second lane after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             x, o = text_bytes(b.column(1))
             if whole:
                 sets = [s.tobytes() + t.tobytes() for s, t in text_pairs(x, o, width)]

@@ -39,8 +39,8 @@ def pre_tokens(text: str, split: regex.Pattern, special: regex.Pattern | None) -
 def _classes() -> np.ndarray:
     """Class of each code point, by the regex module's character database."""
     out = np.full(0x110000, _OTHER, np.uint8)
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    at, every = np.array(points), "".join(map(chr, points))
+    at = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    every = at.tobytes().decode("utf-32-le")
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
             out[at[m.start() : m.end()]] = kind
@@ -91,7 +91,7 @@ def known_starts(x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 #: Characters of a text that are cut into pre-tokens at once, and of several texts together.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _SAFE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import xxhash
 
 U = np.uint64
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
