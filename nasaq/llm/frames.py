@@ -81,7 +81,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nasaq/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     _STAGED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -95,6 +95,14 @@ def discard(*staged: DataFrame) -> None:
         _STAGED.remove((df.sparkSession, df._staged_at))
 
 
+def clean(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage: only then does Spark delete shuffle files and broadcasts of finished jobs.
+
+    Otherwise that waits for spark.cleaner.periodicGC.interval, half an hour.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def add_columns(
     df: DataFrame,
     fields: list[T.StructField],

@@ -85,11 +85,13 @@ def train(labelled: DataFrame) -> Model:
     t = sums.limit(MAX_LANGUAGES * FEATURES + 1).toArrow()
     if len(t) > MAX_LANGUAGES * FEATURES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted(set(t["lang"].to_pylist()))
-    at = {l: i for i, l in enumerate(langs)}
+    names = t["lang"].combine_chunks().dictionary_encode()
+    own = names.dictionary.to_pylist()
+    langs = sorted(own)
     counts = np.zeros((len(langs), FEATURES), np.int64)
     if langs:
-        counts[np.array([at[l] for l in t["lang"].to_pylist()]), t["f"].to_numpy()] = t["n"].to_numpy()
+        at = np.array([langs.index(l) for l in own])
+        counts[at[names.indices.to_numpy()], t["f"].to_numpy()] = t["n"].to_numpy()
     return Model(langs, counts)
 
 

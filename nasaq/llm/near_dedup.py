@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import by_bytes, discard, pick, stage, text_bytes
+from .frames import by_bytes, clean, discard, pick, stage, text_bytes
 from .words import mix, text_pairs, text_shingles, word_hashes
 
 #: Retained values: the bottom K of the hash over a document's shingles.
@@ -390,7 +390,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     lists = reps.select(F.explode("keys").alias("key"), one.alias("a"))
     sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = stage(lists.join(sizes, "key"), "near-lists")
-    weight = lists.groupBy(F.col("a.id").alias("w_id")).agg(F.sum("m").alias("w"))
+    weight = stage(lists.groupBy(F.col("a.id").alias("w_id")).agg(F.sum("m").alias("w")), "near-weights")
     # the member whose lists hold most, ties to the smaller id: one hub for all of a group's lists
     weighed = lists.join(weight, F.col("a.id") == F.col("w_id"))
     hubs = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), "a")).alias("h")).select("key", F.col("h.a").alias("b"))
@@ -398,6 +398,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     star = stage(star.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "near-star")
     links = _confirm(star, reps, texts, width, percent, "near-star")
     first = connected_components(links)
+    clean(docs.sparkSession)
 
     comp = lists.join(first.select(F.col("id").alias("cid"), "component"), F.col("a.id") == F.col("cid"), "left").select("key", "a", "m", F.coalesce("component", "a.id").alias("c"))
     mixed = comp.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
@@ -406,13 +407,15 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     hub_links = stage(hub_links.distinct(), "near-hub-links")
     yes = F.lit(True)
     short = rest.where(F.col("m") <= HOT).select("key", "a", "c", yes.alias("x"), yes.alias("y"))
-    cross = _pairs(short, hubs, percent)
     changed, rare = _mixed(changed, "near-changed"), _mixed(rare, "near-rare")
-    cross = cross.union(_pairs(changed, None, percent))
-    cross = cross.union(_pairs(rare, hubs.where("near"), percent)).distinct()
+    # staged one by one: the plans stay small
+    kinds = ((short, hubs, "short"), (changed, None, "changed"), (rare, hubs.where("near"), "rare"))
+    pairs = [stage(_pairs(lists_, hubs_, percent), f"near-{kind}-pairs") for lists_, hubs_, kind in kinds]
+    cross = pairs[0].union(pairs[1]).union(pairs[2])
     cross = cross.union(hub_links).distinct().join(star, ["a", "b"], "left_anti")
     more = _confirm(cross, reps, texts, width, percent, "near-cross")
-    discard(*used, changed, rare, rest, lists, star, reps)
+    discard(*used, *pairs, changed, rare, rest, lists, weight, star, reps)
+    clean(docs.sparkSession)
 
     comps = connected_components(first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     of = classes.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("sig").alias("csig"), F.coalesce("component", "rep").alias("component_id"))
