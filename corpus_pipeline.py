@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nasaq.llm import bpe, decontaminate, language_id, near_dedup, pii
-from nasaq.llm.frames import _STAGED, crc_bucket, shared_dir, stage, unclash
+from nasaq.llm.frames import _STAGED, clean, crc_bucket, shared_dir, stage, unclash
 
 #: A document whose language has less than this share of it is rejected.
 LANGUAGE_SHARE = 0.5
@@ -83,4 +83,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         _STAGED.append((spark, path))
         docs = spark.read.parquet(path)
+        clean(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
