@@ -30,7 +30,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.find_items(pick(_documents(spark, sf_dir), "doc_id", "text"), items)
-    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "containment")
+    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("items"), "containment")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,23 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.c AS component_id, n.doc_id = m.c
 FROM n JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = n.doc_id
 """
 
-ORACLE_SQL = {"op6_near_dedup": _NEAR_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
+_ITEMS_SQL = f"""
+WITH i AS (
+  SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), s AS (
+  SELECT item_id, least({decontaminate.WIDTH}, len(w)) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least({decontaminate.WIDTH}, len(w)) + 2), lambda j: array_to_string(w[j : j + least({decontaminate.WIDTH}, len(w)) - 1], ' ')))) AS g FROM i WHERE len(w) > 0
+), n AS (
+  SELECT item_id, count(*) AS n FROM s GROUP BY item_id
+), t AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), d AS (
+  SELECT doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j : j + k - 1], ' ')))) AS g FROM t, (SELECT DISTINCT k FROM s)
+), c AS (
+  SELECT doc_id, item_id, count(*) / any_value(n.n) AS share FROM d JOIN s USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id
+), f AS (
+  SELECT doc_id, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items, max(share) AS containment FROM c WHERE share >= {decontaminate.THRESHOLD} - 1e-12 GROUP BY doc_id
+)
+SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(items, '') AS items, coalesce(containment, 0.0)::DOUBLE AS containment FROM documents LEFT JOIN f USING (doc_id)
+"""
+
+ORACLE_SQL = {"op4_decontamination": _ITEMS_SQL, "op6_near_dedup": _NEAR_SQL, "op9_url_filter": url_filter.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}

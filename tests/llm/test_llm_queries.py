@@ -33,7 +33,7 @@ def test_columns_and_rows(spark, name):
         import duckdb
 
         c = duckdb.connect()
-        for t in ("documents", "pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings", "benchmark"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         cols = sorted(got.columns)
         want = c.sql(ORACLE_SQL[name]).select(", ".join(cols)).fetchall()
