@@ -120,6 +120,14 @@ _ZW, _BIDI, _QURANIC = {"ب": "ب‌‍"}, {"ن": "ن‏⁦"}, {"ر": "رۖۥ"}
 _COUNT = "SELECT d.doc_id, count(l.doc_id)::BIGINT AS selected FROM documents d LEFT JOIN (SELECT doc_id FROM {of} WHERE {hit}) l USING (doc_id) GROUP BY d.doc_id"
 _FAULT = "f AS (SELECT doc_id, min(line) AS bad FROM lines WHERE strlen(text) > 400 GROUP BY doc_id)"
 _FUZZY = " OR ".join(f"levenshtein(substr(k, i, {n}), 'therand') <= 1" for n in (6, 7, 8))
+#: Per end the nearest, then longest window; of windows that overlap, the nearest, then first, then longest.
+_FUZZY_SPANS = f"""WITH {_LINES}, k AS (SELECT doc_id, line, text, replace({_KEY}, 'ß', '#') AS k FROM lines),
+c AS (SELECT doc_id, line, text, list_filter(flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform([6, 7, 8], lambda n: {{'s': levenshtein(substr(k, i, n), 'therand'), 'a': i - 1, 'z': 1 - i - n, 'fits': i + n - 1 <= length(k)}}))), lambda x: x.s <= 1 AND x.fits) AS c
+  FROM k WHERE len(list_filter(range(1, len(k) + 1), lambda i: {_FUZZY})) > 0),
+e AS (SELECT doc_id, line, text, list_sort(list_filter(c, lambda x: len(list_filter(c, lambda y: y.z = x.z AND (y.s < x.s OR (y.s = x.s AND y.a < x.a)))) = 0)) AS c FROM c),
+t AS (SELECT doc_id, line, text, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a < -x[1].z AND x[1].a < -y.z)) = 0 THEN acc || x ELSE acc END) AS c FROM e),
+hits AS (SELECT doc_id, line, text, list_transform(list_sort(list_transform(c, lambda x: {{'a': x.a, 'z': x.z}})), lambda x: {{'c': x.a::BIGINT, 'n': -x.z - x.a}}) AS spots FROM t)
+SELECT doc_id, line, text, {_SPANS} AS spans FROM hits"""
 _HIGHLIGHT = "((?:t[iìíîï][oòóôõö][nñ])+)"
 
 ORACLE_SQL = {
@@ -129,9 +137,11 @@ ORACLE_SQL = {
     "s11_detect_encoding": "SELECT doc_id, unnest(['utf16be', 'utf8']) AS encoding, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL",
     "s14_html_text": _html_text(),
     "s19_line_limit": f"WITH {_LINES}, {_FAULT} SELECT doc_id, bad AS line, 'over 400 bytes' AS error FROM f",
+    "s20_invalid_utf8": f"WITH {_LINES} SELECT doc_id, min(line) AS line, 'invalid UTF-8' AS error FROM lines WHERE line % 5 = 0 OR contains(text, 'tion') GROUP BY doc_id",
     "a6_lines_before_fault": f"WITH {_LINES}, {_FAULT} SELECT doc_id, line, text FROM lines LEFT JOIN f USING (doc_id) WHERE bad IS NULL OR line < bad",
     "n1_key_latin": _lines(f"{_KEY} AS key"),
     "n5_key_latin_decomposed": _lines(f"{_swap('text', _ACCENTED)} AS key"),
+    "n28_key_reordered": _lines(f"{_swap('text', {c: d + chr(0x323) if len(d) == 2 else d for c, d in _ACCENTED.items()})} AS given, {_swap('text', {c: d[0] + ''.join(sorted(d[1:] + chr(0x323), key=unicodedata.combining)) for c, d in _ACCENTED.items() if len(d) == 2})} AS key, {_KEY} AS key_search"),
     "n7_key_search": _arabic(f"{_search('text')} AS key"),
     "n9_key_strict": _arabic(f"{_swap(_fold('text', _BASE, _MARKS + _TATWEEL), _DECOMPOSED)} AS key"),
     "n25_key_loose": _arabic(f"{_fold(_search('text'), _SKELETONS)} AS key"),
@@ -168,6 +178,7 @@ ORACLE_SQL = {
     "m5_regex": _lines("text", " OR ".join(f"regexp_matches({_KEY}, '{p}')" for p in (r"\bth\w+ (?:and|of)\b", r"^[A-E][a-z]{2,4}\.$", "[[:digit:]]{4}"))),
     "m6_regex_spans": f"WITH {_LINES}, {_regex('th[a-z]*e')} SELECT doc_id, line, text, {_SPANS} AS spans FROM hits",
     "m7_fuzzy": f"WITH {_LINES}, k AS (SELECT doc_id, line, text, replace({_KEY}, 'ß', '#') AS k FROM lines) SELECT doc_id, line, text FROM k WHERE len(list_filter(range(1, len(k) + 1), lambda i: {_FUZZY})) > 0",
+    "m10_fuzzy_spans": _FUZZY_SPANS,
     "m13_invert": _lines("text", f"NOT contains({_KEY}, 'e')"),
     "m14_word": _lines("text", f"regexp_matches({_KEY}, '(^|[^{_WORD[1:-1]}])des($|[^{_WORD[1:-1]}])')"),
     "m14_word_spans": f"""WITH {_LINES}, {_literal('des')}, w AS (SELECT doc_id, line, text, list_filter(spots, lambda s: NOT regexp_matches(substr({_KEY}, s.c, CASE WHEN s.c > 0 THEN 1 ELSE 0 END), '{_WORD}') AND NOT regexp_matches(substr({_KEY}, s.c + 4, 1), '{_WORD}')) AS spots FROM hits)

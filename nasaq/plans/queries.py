@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,13 @@ def s19_line_limit(spark, sf_dir):
     return S.first_faults(_lines(spark, sf_dir), ["doc_id"], 400)
 
 
+def s20_invalid_utf8(spark, sf_dir):
+    """Lines with a byte that is no UTF-8: every fifth one, and those with a word part."""
+    bad = (F.col("line") % 5 == 0) | F.contains("text", F.lit("tion"))
+    raw = F.when(bad, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF")))).otherwise(F.col("text").cast("binary"))
+    return S.first_faults(_lines(spark, sf_dir).withColumn("text", raw.cast("string")), ["doc_id"])
+
+
 def a6_lines_before_fault(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     return S.until_fault(lines, S.first_faults(lines, ["doc_id"], 400), ["doc_id"]).select("doc_id", "line", "text")
@@ -105,6 +113,17 @@ def n5_key_latin_decomposed(spark, sf_dir):
     return _key(_lines(spark, sf_dir), key=PROFILES["lucene"])
 
 
+def n28_key_reordered(spark, sf_dir):
+    """Decomposed letters whose marks are out of canonical order: a key of code points puts them in order, one without marks drops them."""
+    text = F.col("text")
+    for c in range(0xC0, 0x180):
+        d = unicodedata.normalize("NFD", chr(c))
+        if len(d) == 2:
+            text = F.replace(text, F.lit(chr(c)), F.lit(d + "\u0323"))
+    t = _lines(spark, sf_dir).withColumn("text", text)
+    return t.select(*DOC, F.col("text").alias("given"), C.key_column(F.col("text"), PROFILES["lucene"]).alias("key"), C.key_column(F.col("text"), P).alias("key_search"))
+
+
 def n7_key_search(spark, sf_dir):
     return _key(_arabic(spark, sf_dir), key=P)
 
