@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ ORDER = 5
 #: Text in one chunk, in bytes; a longer document is a chunk of its own.
 CHUNK = 32 << 20
 SLAB = 1 << 19
+#: Text in one compressed batch of a chunk, in bytes.
+PACKED = 4 << 20
 END = b"\n"
 _END_WORD = np.uint64(0x0E0D0C0B0A090807)
 _SCHEMA = "chunk long, kind int, key long, n long, blob binary"
@@ -65,35 +66,71 @@ def _word_keys(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, wo[1:], _END_WORD).view(np.int64), wo + np.arange(len(wo))
 
 
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
+def _fold(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, with the sums of their weights; empties ``parts`` to free what it has copied."""
+    k, n = (np.concatenate(z) for z in zip(*parts))
+    parts.clear()
+    by = np.argsort(k)
+    k, n = k[by], n[by]
+    at = _runs(k)
+    return k[at], np.add.reduceat(n, at) if len(at) else n
+
+
 class _Counter:
-    """Distinct keys with two counts, folded as they come."""
+    """Distinct keys with the sums of their weights, folded as they come."""
 
     def __init__(self):
-        self.parts, self.rows = [], 0
+        self.parts, self.rows, self.folded = [], 0, 0
 
     def add(self, keys: np.ndarray, weight: np.ndarray) -> None:
-        u, inv = np.unique(keys, return_inverse=True)
-        self.parts.append((u, np.bincount(inv, weights=weight, minlength=len(u)).astype(np.int64)))
-        self.rows += len(u)
-        if self.rows > 1_500_000:
-            self.parts = [self.total()]
-            self.rows = len(self.parts[0][0])
+        self.parts.append((keys, weight))
+        self.rows += len(keys)
+        if self.rows > max(500_000, self.folded // 2):
+            self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) == 1:
-            return self.parts[0]
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k, n = (np.concatenate(z) for z in zip(*self.parts))
-        u, inv = np.unique(k, return_inverse=True)
-        return u, np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64)
+        whole = _fold(self.parts)
+        self.parts, self.rows, self.folded = [whole], 0, len(whole[0])
+        return whole
+
+
+def _distinct_grams(grams: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and how many have weight 1 (not 0); both go through one sort, as a gram leaves bits free."""
+    p = np.sort(grams << 1 | weight)
+    k = p >> 1
+    at = _runs(k)
+    return k[at], np.add.reduceat(p & 1, at)
 
 
-def _slabs(seqs: list[bytes]):
+def _gram_sums(grams: np.ndarray, o: np.ndarray, keys: np.ndarray, vals: np.ndarray) -> np.ndarray:
+    """For each sequence the sum of its grams' values; ``keys`` are sorted and have every gram.
+
+    Grams are sorted with their sequence's number in the low 16 bits, so each
+    distinct gram is looked up once, in order.
+    """
+    n = len(o) - 1
+    seq = np.repeat(np.arange(n, dtype=np.uint64), np.diff(o))
+    p = np.sort(grams.astype(np.uint64) << np.uint64(16) | seq)
+    k = p >> np.uint64(16)
+    at = _runs(k)
+    v = vals[np.searchsorted(keys, k[at].astype(np.int64))]
+    each = np.repeat(v, np.diff(np.append(at, len(k))))
+    return np.bincount((p & np.uint64(0xFFFF)).astype(np.int64), each, n)
+
+
+def _slabs(seqs: list[bytes], most: int = SLAB):
+    """Runs of at most ``most`` bytes, or one longer sequence, and of at most 65,536 sequences."""
     i = 0
     while i < len(seqs):
         j, size = i, 0
-        while j < len(seqs) and (j == i or size + len(seqs[j]) <= SLAB):
+        while j < len(seqs) and (j == i or size + len(seqs[j]) <= most) and j - i < 1 << 16:
             size += len(seqs[j])
             j += 1
         yield i, j
@@ -106,23 +143,31 @@ def _batch(chunk, kind, key, n, blob=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["chunk", "kind", "key", "n", "blob"])
 
 
+_TEXTS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("seq", pa.large_binary())])
+
+
+def _pack(ids: list, held: list[bool], seqs: list[bytes]) -> bytes:
+    """A chunk's texts as compressed batches, so that neither side holds them whole a second time."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3), use_threads=False)) as s:
+        for i, j in _slabs(seqs, PACKED):
+            s.write_batch(pa.RecordBatch.from_arrays([pa.array(c[i:j], f.type) for c, f in zip((ids, held, seqs), _TEXTS)], schema=_TEXTS))
+    return sink.getvalue().to_pybytes()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: a chunk's texts.  1: its distinct grams.  2: its distinct words.  n: occurrences in training texts."""
     chunk = TaskContext.get().partitionId() << 32
 
     def flush():
+        yield _batch(chunk, 0, [0], [0], _pack(ids, held, seqs))
         grams, words = _Counter(), _Counter()
         for i, j in _slabs(seqs):
-            w = np.array(train[i:j], np.float64)
+            w = np.array(train[i:j], np.int64)
             g, o = _grams(seqs[i:j])
-            grams.add(g, np.repeat(w, np.diff(o)))
+            grams.add(*_distinct_grams(g, np.repeat(w, np.diff(o))))
             h, o = _word_keys(seqs[i:j])
-            words.add(h, np.repeat(w, np.diff(o)))
-        blob = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held, pa.bool_()), pa.array(seqs, pa.large_binary())], names=["doc_id", "held_out", "seq"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, blob.schema) as s:
-            s.write_batch(blob)
-        yield _batch(chunk, 0, [0], [0], zstandard.compress(sink.getvalue().to_pybytes(), 3))
+            words.add(*_fold([(h, np.repeat(w, np.diff(o)))]))
         for kind, c in ((1, grams), (2, words)):
             k, n = c.total()
             for s in range(0, len(k), 50_000):
@@ -138,7 +183,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, held, train, seqs, size = [], [], [], [], 0
             ids.append(i)
             held.append(bool(h))
-            train.append(0.0 if h else 1.0)
+            train.append(0 if h else 1)
             seqs.append(s)
             size += len(s)
     if ids:
@@ -217,18 +262,19 @@ def _scorer(total: int, distinct: int):
         base = np.log10((wv + 1) / (total + distinct + 1))
         cols: list[list] = [[] for _ in names]
         for blob in texts["blob"]:
-            t = pa.ipc.open_stream(zstandard.decompress(blob.as_py())).read_all()
-            seqs = t["seq"].to_pylist()
-            cols[0] += t["doc_id"].to_pylist()
-            cols[1] += t["held_out"].to_pylist()
-            for i, j in _slabs(seqs):
-                h, o = _word_keys(seqs[i:j])
-                w = np.searchsorted(wk, h)
-                cols[2] += np.diff(o).tolist()
-                cols[3] += np.add.reduceat((wv[w] > 0).astype(np.int64), o[:-1]).tolist()
-                cols[5] += np.add.reduceat(base[w], o[:-1]).tolist()
-                g, o = _grams(seqs[i:j])
-                cols[6] += np.add.reduceat(gv[np.searchsorted(gk, g)], o[:-1]).tolist()
+            for t in pa.ipc.open_stream(blob.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)):
+                seqs = t["seq"].to_pylist()
+                cols[0] += t["doc_id"].to_pylist()
+                cols[1] += t["held_out"].to_pylist()
+                for i, j in _slabs(seqs):
+                    h, o = _word_keys(seqs[i:j])
+                    u, at = np.unique(h, return_inverse=True)
+                    w = np.searchsorted(wk, u)[at]
+                    cols[2] += np.diff(o).tolist()
+                    cols[3] += np.add.reduceat((wv[w] > 0).astype(np.int64), o[:-1]).tolist()
+                    cols[5] += np.add.reduceat(base[w], o[:-1]).tolist()
+                    g, o = _grams(seqs[i:j])
+                    cols[6] += _gram_sums(g, o, gk, gv).tolist()
         cols[4] = [total] * len(cols[0])
         kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
