@@ -185,14 +185,26 @@ def _exact(percent: int):
 _FEW_IDS = 1_000_000
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets, of 128-bit values, are similar."""
-    sk = reps.select(F.col("doc_id").alias("id"), "sketch")
+def _sketches_of(pairs: DataFrame, reps: DataFrame, every: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, sketch) of the representatives in the pairs, and the staged table that it reads; no other sketch is shuffled while ids are few."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = stage(reps.select("doc_id", F.col("sig").alias("of")).join(ends, F.col("doc_id") == F.col("id")).select("id", "of"), f"{name}-ends")
+    few = ids.count() <= _FEW_IDS
+    own = every.join(F.broadcast(ids) if few else ids, (F.col("doc_id") == F.col("id")) & (F.col("sig") == F.col("of")), "left_semi")
+    own = own.select(F.col("doc_id").alias("id"), "sig", "sketch").repartition("id").dropDuplicates(["id", "sig"])
+    return own.select("id", "sketch"), ids
+
+
+def _confirm(pairs: DataFrame, reps: DataFrame, every: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets, of 128-bit values, are similar; ``every`` has the sketches."""
+    sk, ends = _sketches_of(pairs, reps, every, name)
     half = pairs.join(sk, pairs.a == sk.id).select("a", "b", F.col("sketch").alias("x"))
     est = half.join(sk, half.b == sk.id).select("a", "b", "x", F.col("sketch").alias("y"))
     near = stage(est.mapInArrow(_near(ESTIMATE, percent / 100 - MARGIN), "a long, b long"), f"{name}-near")
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     ids = stage(ids, f"{name}-ids")
+    discard(ends)
+    clean(pairs.sparkSession)
     few = ids.count() <= _FEW_IDS
     own = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.id, "left_semi")
     sets = stage(own.mapInArrow(_sets(width, True), "id long, s binary"), f"{name}-sets")
@@ -203,16 +215,20 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, pe
     return links
 
 
+def _sized(percent: int) -> "F.Column":
+    """Whether sizes of a and b leave room for a link."""
+    return 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+
+
 def _alike(percent: int) -> "F.Column":
     """Whether sizes and signatures of a and b leave room for a link.
 
     Of linked sets no more than (1 - t) / (1 + t) of both sizes differ, and no
     fewer than the parities that do; this is exact, and tells most of small sets.
     """
-    size = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
     apart = {k: sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in _BITS if x[0] == k), F.lit(0)) for k in "bp"}
     parity = (100 + percent) * apart["p"] <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
-    return size & parity & (apart["b"] <= _most_apart(percent))
+    return _sized(percent) & parity & (apart["b"] <= _most_apart(percent))
 
 
 def _most_apart(percent: int) -> int:
@@ -355,8 +371,13 @@ def _mixed(lists: DataFrame, name: str) -> DataFrame:
     return stage(lists.join(many, "key"), name)
 
 
-def _pairs(lists: DataFrame, hubs: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a list; sets with a common hub in ``hubs`` meet by their changes instead."""
+def _pairs(lists: DataFrame, hubs: DataFrame | None, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list; sets with a common hub in ``hubs`` meet by their changes instead.
+
+    ``marks`` has the members' signatures, which lists don't carry until pairs are formed.
+    """
+    marks = marks.select(F.col("a").alias("mark"))
+    lists = lists.join(marks, (F.col("a.id") == F.col("mark.id")) & (F.col("a.n") == F.col("mark.n"))).drop("a").withColumnRenamed("mark", "a")
     none = F.array().cast("array<long>")
     if hubs is None:
         lists = lists.withColumn("hs", none)
@@ -384,25 +405,35 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     every = stage(texts.mapInArrow(_sketches(width, percent), _SKETCH), "near-sketches")
     classes = stage(every.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "near-classes")
     joined = every.where("sig IS NOT NULL").join(classes.withColumnRenamed("sig", "csig"), (F.col("sig") == F.col("csig")) & (F.col("doc_id") == F.col("rep")))
-    reps = stage(joined.select("doc_id", "sig", "n_shingles", "keys", "sketch", *_BITS).dropDuplicates(["doc_id", "sig"]), "near-reps")
+    # sketches are most of a row and stay where they are: few of them go with a pair
+    reps = stage(joined.select("doc_id", "sig", "n_shingles", "keys", *_BITS).dropDuplicates(["doc_id", "sig"]), "near-reps")
+    clean(docs.sparkSession)
 
-    one = F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS)
-    lists = reps.select(F.explode("keys").alias("key"), one.alias("a"))
+    # a list's member is its id and size: most lists end here, and signatures are many times that
+    lists = reps.select(F.explode("keys").alias("key"), F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n")).alias("a"))
     sizes = lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     lists = stage(lists.join(sizes, "key"), "near-lists")
+    clean(docs.sparkSession)
     weight = stage(lists.groupBy(F.col("a.id").alias("w_id")).agg(F.sum("m").alias("w")), "near-weights")
     # the member whose lists hold most, ties to the smaller id: one hub for all of a group's lists
     weighed = lists.join(weight, F.col("a.id") == F.col("w_id"))
     hubs = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("o"), "a")).alias("h")).select("key", F.col("h.a").alias("b"))
-    star = lists.join(hubs, "key").where((F.col("a.id") != F.col("b.id")) & _alike(percent))
-    star = stage(star.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct(), "near-star")
-    links = _confirm(star, reps, texts, width, percent, "near-star")
+    star = lists.join(hubs, "key").where((F.col("a.id") != F.col("b.id")) & _sized(percent)).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    one = reps.select(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *_BITS).alias("a"))
+    for end, of in (("x", "a"), ("y", "b")):
+        star = star.join(one.select(F.col("a").alias(of)), (F.col(f"{end}.id") == F.col(f"{of}.id")) & (F.col(f"{end}.n") == F.col(f"{of}.n")))
+    star = stage(star.where(_alike(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "near-star")
+    clean(docs.sparkSession)
+    links = _confirm(star, reps, every, texts, width, percent, "near-star")
     first = connected_components(links)
     clean(docs.sparkSession)
 
     comp = lists.join(first.select(F.col("id").alias("cid"), "component"), F.col("a.id") == F.col("cid"), "left").select("key", "a", "m", F.coalesce("component", "a.id").alias("c"))
     mixed = comp.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = stage(comp.join(mixed, "key"), "near-rest")
+    ids = rest.select(F.col("a.id").alias("id")).distinct()
+    marks = stage(one.join(ids, F.col("a.id") == F.col("id"), "left_semi"), "near-marks")
+    clean(docs.sparkSession)
     changed, rare, hub_links, hubs, used = _change_lists(rest.where(F.col("m") > HOT).select("key", "a", "c"), weight, texts, width, percent)
     hub_links = stage(hub_links.distinct(), "near-hub-links")
     yes = F.lit(True)
@@ -410,11 +441,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     changed, rare = _mixed(changed, "near-changed"), _mixed(rare, "near-rare")
     # staged one by one: the plans stay small
     kinds = ((short, hubs, "short"), (changed, None, "changed"), (rare, hubs.where("near"), "rare"))
-    pairs = [stage(_pairs(lists_, hubs_, percent), f"near-{kind}-pairs") for lists_, hubs_, kind in kinds]
+    pairs = [stage(_pairs(lists_, hubs_, marks, percent), f"near-{kind}-pairs") for lists_, hubs_, kind in kinds]
     cross = pairs[0].union(pairs[1]).union(pairs[2])
     cross = cross.union(hub_links).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(cross, reps, texts, width, percent, "near-cross")
-    discard(*used, *pairs, changed, rare, rest, lists, weight, star, reps)
+    more = _confirm(cross, reps, every, texts, width, percent, "near-cross")
+    discard(*used, *pairs, changed, rare, rest, marks, lists, weight, star, reps)
     clean(docs.sparkSession)
 
     comps = connected_components(first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

@@ -294,6 +294,20 @@ def test_near_dedup_by_brute_force(spark, monkeypatch, width, hot):
         assert (got[i].component_id, got[i].n_shingles, got[i].kept) == (want[i], sizes[i], want[i] == i)
 
 
+def test_near_dedup_keeps_sketches_and_signatures_in_place(spark, monkeypatch):
+    """They are most of a row: only those of sets that pair up are staged again or dealt out, also where ids aren't broadcast."""
+    rnd, staged = random.Random(6), {}
+    real = near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    monkeypatch.setattr(near_dedup, "_FEW_IDS", 0)
+    texts = [" ".join(rnd.choices("abcdefghijklmnop", k=120)) for _ in range(12)]
+    texts += [texts[0] + " z", texts[0], texts[5] + " y x"]
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(frame(spark, texts), width=2).collect()}
+    assert got == {i: i for i in range(12)} | {12: 0, 13: 0, 14: 5}
+    assert [n for n, df in staged.items() if "sketch" in df.columns] == ["near-sketches"]
+    assert staged["near-lists"].schema["a"].dataType.names == ["id", "n"]
+
+
 def test_near_dedup_odd_tables(spark):
     assert near_dedup.groups(frame(spark, [])).count() == 0
     assert all(r.kept for r in near_dedup.groups(frame(spark, ["", None, " "])).collect())
