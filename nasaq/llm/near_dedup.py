@@ -8,7 +8,7 @@ full sets confirms links.  Components of the links are the groups.
 * Texts with the same set are one class; only class representatives go on.
 * A list's key is several retained values at once: the values are dealt into
   bins, and a key holds the smallest values of BAND bins.  Small sets use prefix
-  lists instead: similar sets share at least two of their few smallest values.
+  lists instead: similar sets share at least two of their few rarest values.
 * Each list first gives star pairs, each member with one hub; the hub is the
   member whose lists hold most others, as a group's original does.  All other
   pairs are formed only between members that aren't connected by then.
@@ -51,23 +51,28 @@ PARITY = 256
 NEAR = 70
 #: Up to SMALL shingles a set has prefix lists; from OVERLAP on it has bin lists; in between, both.
 SMALL, OVERLAP = 80, 64
+#: Bytes of a text up to which its shingles, if it has no more than SMALL, count for the order in prefix lists; longer
+#: texts of few shingles are listed in the same order.
+BRIEF = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _U = np.uint64
 
 
-def list_keys(s: np.ndarray, percent: int) -> np.ndarray:
+def list_keys(s: np.ndarray, percent: int, often: np.ndarray | None = None) -> np.ndarray:
     """Keys of the inverted lists for a sorted set of shingle hashes.
 
     Similar sets share two keys at least: small sets surely, others with a
     probability of over 1 - 1e-6.  Sets that can only be similar to an equal
-    one have no key.
+    one have no key.  Small sets are listed under their rarest values by the
+    counters ``often``, ties by value: lists of common ones grow with the corpus.
     """
     n, keys = len(s), []
     need = -(-percent * n // 100)
     if need < 2 or 100 * n < percent * (n + 1):
         return np.zeros(0, np.int64)
     if n <= SMALL:
-        keys.append(mix(s[: n - need + 2] ^ _U(0x51)))
+        first = s if often is None else s[np.lexsort((s, often[_counter(0, s)]))]
+        keys.append(mix(first[: n - need + 2] ^ _U(0x51)))
     if n >= OVERLAP:
         kept = s[:K]
         g = _bins(kept, BINS, 0).reshape(BINS // BAND, BAND)
@@ -104,7 +109,7 @@ _BITS = [f"b{i}" for i in range(BITS // 64)] + [f"p{i}" for i in range(PARITY //
 _SKETCH = "doc_id long, n_shingles long, sig binary, keys array<long>, sketch binary, " + ", ".join(f"{x} long" for x in _BITS)
 
 
-def _sketches(width: int, percent: int):
+def _sketches(width: int, percent: int, often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1):
             x, o = text_bytes(b.column(1))
@@ -113,7 +118,7 @@ def _sketches(width: int, percent: int):
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes() + t.tobytes()) if len(s) else None)
                 s = np.unique(s)
-                keys.append(list_keys(s, percent))
+                keys.append(list_keys(s, percent, often.value))
                 sketch.append(s[:ESTIMATE].tobytes())
                 bits.append((*bit_signature(s), *parity_signature(s)))
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -124,17 +129,13 @@ def _sketches(width: int, percent: int):
     return run
 
 
-def _sets(width: int, whole: bool = False):
-    """(id, s): each text's set, of 64-bit values, or ``whole`` with those of the second lane after them."""
+def _sets(width: int):
+    """(id, s): each text's set, of 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1):
-            x, o = text_bytes(b.column(1))
-            if whole:
-                sets = [s.tobytes() + t.tobytes() for s, t in text_pairs(x, o, width)]
-            else:
-                h, wo = word_hashes(x, o)
-                sets = [np.unique(s).tobytes() for s in text_shingles(h, wo, width)]
+            h, wo = word_hashes(*text_bytes(b.column(1)))
+            sets = [np.unique(s).tobytes() for s in text_shingles(h, wo, width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     return run
@@ -165,17 +166,19 @@ def _near(k: int, least: float):
     return run
 
 
-def _exact(percent: int):
+def _exact(width: int, percent: int):
+    """(a, b) of rows (a, b, x, y) whose texts x and y have similar sets, of 128-bit values."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(by_bytes(batches, 2), 3):
             keep = np.zeros(b.num_rows, bool)
-            for i, (sa, sb) in enumerate(_buffers(b, 2, 3)):
-                na, nb = len(sa) // 2, len(sb) // 2
-                u, v = np.concatenate([sa[:na], sb[:nb]]), np.concatenate([sa[na:], sb[nb:]])
+            sets = (text_pairs(*text_bytes(b.column(c)), width) for c in (2, 3))
+            for i, ((ua, va), (ub, vb)) in enumerate(zip(*sets)):
+                u, v = np.concatenate([ua, ub]), np.concatenate([va, vb])
                 by = np.argsort(u, kind="stable")
                 u, v = u[by], v[by]
                 both = int(((u[1:] == u[:-1]) & (v[1:] == v[:-1])).sum())
-                keep[i] = 100 * both >= percent * (len(u) - both)
+                keep[i] = both and 100 * both >= percent * (len(u) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -206,12 +209,12 @@ def _confirm(pairs: DataFrame, reps: DataFrame, every: DataFrame, texts: DataFra
     discard(ends)
     clean(pairs.sparkSession)
     few = ids.count() <= _FEW_IDS
-    own = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.id, "left_semi")
-    sets = stage(own.mapInArrow(_sets(width, True), "id long, s binary"), f"{name}-sets")
-    half = near.join(sets, near.a == sets.id).select("a", "b", F.col("s").alias("x"))
-    full = half.join(sets, half.b == sets.id).select("a", "b", "x", F.col("s").alias("y"))
-    links = stage(full.mapInArrow(_exact(percent), "a long, b long"), f"{name}-links")
-    discard(near, ids, sets)
+    # texts go to the pairs, and their sets are made there: a set's values are several times its text, and don't compress
+    own = texts.join(F.broadcast(ids) if few else ids, texts.doc_id == ids.id, "left_semi").select(F.col("doc_id").alias("id"), "text")
+    half = near.join(own, near.a == own.id).select("a", "b", F.col("text").alias("x"))
+    full = half.join(own, half.b == own.id).select("a", "b", "x", F.col("text").alias("y"))
+    links = stage(full.mapInArrow(_exact(width, percent), "a long, b long"), f"{name}-links")
+    discard(near, ids)
     return links
 
 
@@ -281,9 +284,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(values: DataFrame):
     """A broadcast count sketch of the values (h, s): COUNTERS numbers at most, by one aggregation of each task's counters."""
-    rows = values.mapInArrow(_counted, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    rows = values.mapInArrow(_counted, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(COUNTERS, np.int64)
-    n[rows["i"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    n[rows["i"].to_numpy()] = rows["n"].to_numpy()
     return values.sparkSession.sparkContext.broadcast(np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
 
 
@@ -402,7 +405,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     group of their own text.
     """
     texts = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    every = stage(texts.mapInArrow(_sketches(width, percent), _SKETCH), "near-sketches")
+    brief = texts.where(F.octet_length("text") <= BRIEF).mapInArrow(_sets(width), "id long, s binary").where(F.octet_length("s") <= 8 * SMALL)
+    often = _frequencies(brief.select(F.lit(0).cast("long").alias("h"), "s"))
+    every = stage(texts.mapInArrow(_sketches(width, percent, often), _SKETCH), "near-sketches")
     classes = stage(every.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "near-classes")
     joined = every.where("sig IS NOT NULL").join(classes.withColumnRenamed("sig", "csig"), (F.col("sig") == F.col("csig")) & (F.col("doc_id") == F.col("rep")))
     # sketches are most of a row and stay where they are: few of them go with a pair

@@ -308,6 +308,28 @@ def test_near_dedup_keeps_sketches_and_signatures_in_place(spark, monkeypatch):
     assert staged["near-lists"].schema["a"].dataType.names == ["id", "n"]
 
 
+def test_near_dedup_lists_rare_shingles_and_confirms_on_texts(spark, monkeypatch):
+    """A phrase that many short texts share gives no list, and sets of pairs are neither staged nor dealt out."""
+    rnd, types, listed, real = random.Random(7), {}, set(), near_dedup.stage
+
+    def stage(df, name):
+        out, types[name] = real(df, name), dict(df.dtypes)
+        if name == "near-lists":
+            listed.update(r.a.id for r in out.collect())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", stage)
+    phrase = "this line is in every one of the texts"
+    texts = [" ".join([phrase, *(f"w{rnd.randint(0, 10**9)}" for _ in range(9))]) for _ in range(60)]
+    apart = len(texts)
+    texts += [f"{texts[0]} z", f"{texts[7]} z", ""]
+    want, sizes = slow_groups(texts, 2, 80)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.groups(frame(spark, texts), width=2).collect()}
+    assert got == {i: (want[i], sizes[i]) for i in range(len(texts))}
+    assert listed == {0, 7, apart, apart + 1}
+    assert not [n for n, t in types.items() if n.startswith(("near-star", "near-cross")) and "s" in t]
+
+
 def test_near_dedup_odd_tables(spark):
     assert near_dedup.groups(frame(spark, [])).count() == 0
     assert all(r.kept for r in near_dedup.groups(frame(spark, ["", None, " "])).collect())
