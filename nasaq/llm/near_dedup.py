@@ -21,7 +21,7 @@ full sets confirms links.  Components of the links are the groups.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -129,13 +129,17 @@ def _sketches(width: int, percent: int, often):
     return run
 
 
+def _sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Each text's set, of 64-bit values."""
+    return map(np.unique, text_shingles(*word_hashes(*text_bytes(texts)), width))
+
+
 def _sets(width: int):
     """(id, s): each text's set, of 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1):
-            h, wo = word_hashes(*text_bytes(b.column(1)))
-            sets = [np.unique(s).tobytes() for s in text_shingles(h, wo, width)]
+            sets = [s.tobytes() for s in _sets_of(b.column(1), width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
     return run
@@ -270,24 +274,42 @@ def _counter(h, v: np.ndarray) -> np.ndarray:
         return (mix(v ^ mix(np.array([h], np.int64).view(_U) + _U(0x3C6EF372FE94F82B))) % _U(COUNTERS)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(i, n): how many of a task's values (h, s binary) each counter has."""
-    n = np.zeros(COUNTERS, np.int64)
-    for b in batches:
-        for h, (s,) in zip(b.column(0).to_pylist(), _buffers(b, 1)):
-            n += np.bincount(_counter(h, s), minlength=COUNTERS) if len(s) > COUNTERS // 16 else 0
-            if len(s) <= COUNTERS // 16:
-                np.add.at(n, _counter(h, s), 1)
-    i = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n[i])], names=["i", "n"])
-
-
-def _frequencies(values: DataFrame):
-    """A broadcast count sketch of the values (h, s): COUNTERS numbers at most, by one aggregation of each task's counters."""
-    rows = values.mapInArrow(_counted, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+def _counted(values: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]):
+    """(i, n): how many of a task's ``values`` (h, s) each counter has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for h, s in values(b):
+                n += np.bincount(_counter(h, s), minlength=COUNTERS) if len(s) > COUNTERS // 16 else 0
+                if len(s) <= COUNTERS // 16:
+                    np.add.at(n, _counter(h, s), 1)
+        i = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n[i])], names=["i", "n"])
+
+    return run
+
+
+def _stored(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Values of rows (h, s binary)."""
+    return ((h, s) for h, (s,) in zip(b.column(0).to_pylist(), _buffers(b, 1)))
+
+
+def _small_sets(width: int):
+    """Values of rows (doc_id, text): the sets of up to SMALL, of no hub."""
+    return lambda b: ((0, s) for c in by_bytes(iter([b]), 1) for s in _sets_of(c.column(1), width) if len(s) <= SMALL)
+
+
+def _frequencies(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]] = _stored):
+    """A broadcast count sketch of the values (h, s): COUNTERS numbers at most, by one aggregation of each task's counters.
+
+    ``values`` are made where they are counted.  Two Python maps in one task
+    take a worker each, and Spark keeps all workers for the tasks that follow.
+    """
+    found = rows.mapInArrow(_counted(values), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(COUNTERS, np.int64)
-    n[rows["i"].to_numpy()] = rows["n"].to_numpy()
-    return values.sparkSession.sparkContext.broadcast(np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
+    n[found["i"].to_numpy()] = found["n"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
 
 
 def _prefixes(often):
@@ -405,8 +427,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     group of their own text.
     """
     texts = pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    brief = texts.where(F.octet_length("text") <= BRIEF).mapInArrow(_sets(width), "id long, s binary").where(F.octet_length("s") <= 8 * SMALL)
-    often = _frequencies(brief.select(F.lit(0).cast("long").alias("h"), "s"))
+    often = _frequencies(texts.where(F.octet_length("text") <= BRIEF), _small_sets(width))
     every = stage(texts.mapInArrow(_sketches(width, percent, often), _SKETCH), "near-sketches")
     classes = stage(every.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep")), "near-classes")
     joined = every.where("sig IS NOT NULL").join(classes.withColumnRenamed("sig", "csig"), (F.col("sig") == F.col("csig")) & (F.col("doc_id") == F.col("rep")))

@@ -330,6 +330,22 @@ def test_near_dedup_lists_rare_shingles_and_confirms_on_texts(spark, monkeypatch
     assert not [n for n, t in types.items() if n.startswith(("near-star", "near-cross")) and "s" in t]
 
 
+def test_near_dedup_has_one_python_worker_a_task(spark, monkeypatch):
+    # two Python maps in one task take two workers, which stay and hold what later tasks leave in them
+    monkeypatch.setattr(near_dedup, "HOT", 2)
+    kind, below = type(spark.range(0)), []
+    real = kind.mapInArrow
+
+    def map_in_arrow(df, *a, **b):
+        below.append("MapInArrow" in df._jdf.queryExecution().analyzed().toString())
+        return real(df, *a, **b)
+
+    monkeypatch.setattr(kind, "mapInArrow", map_in_arrow)
+    texts = [f"a b c d e f g h i j k l m n o p q r s t {x} {y}" for x in "uvw" for y in "xyz"] + ["", None, "a b"]
+    assert near_dedup.groups(frame(spark, texts), width=2).where("doc_id = component_id").count() == 4
+    assert len(below) > 5 and not any(below)
+
+
 def test_near_dedup_odd_tables(spark):
     assert near_dedup.groups(frame(spark, [])).count() == 0
     assert all(r.kept for r in near_dedup.groups(frame(spark, ["", None, " "])).collect())
