@@ -19,13 +19,13 @@ def split_lines(df: DataFrame, text: str = "text", keys: list[str] = ("doc_id",)
     A last line without an end keeps its ``\\r``; an end at the very end begins
     no further line.  Nulls have no lines.
     """
-    parts = F.split(F.col(text), "\n", -1)
-    last = F.element_at(parts, -1)
-    with_end = F.struct(F.size(parts).alias("n"), F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts).alias("p"))
-    rows = df.where(F.col(text).isNotNull()).select(*keys, with_end.alias("_l")).select(*keys, F.col("_l.n").alias("_n"), F.posexplode("_l.p").alias("_i", "_t"))
-    ended = F.col("_i") < F.col("_n") - 1
-    trimmed = F.when(ended & F.endswith("_t", F.lit("\r")), F.expr("left(_t, length(_t) - 1)")).otherwise(F.col("_t"))
-    return rows.select(*keys, (F.col("_i") + 1).cast("long").alias("line"), trimmed.alias(text))
+    t = F.col(text)
+    # Without the end at the very end; the others are cut away with their \r.
+    body = F.when(F.endswith(t, F.lit("\r\n")), F.expr(f"left(`{text}`, length(`{text}`) - 2)")).when(F.endswith(t, F.lit("\n")), F.expr(f"left(`{text}`, length(`{text}`) - 1)")).otherwise(t)
+    # Nulls explode to no row. Only the keys go along with the lines: rows that
+    # carried their whole text would grow with its square.
+    rows = df.select(*keys, F.posexplode(F.when(t != "", F.split(body, "\r?\n", -1))).alias("_i", text))
+    return rows.select(*keys, (F.col("_i") + 1).cast("long").alias("line"), text)
 
 
 def logical_lines(text: str) -> list[str]:

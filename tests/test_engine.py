@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import unicodedata
 import zipfile
 from dataclasses import replace
@@ -316,6 +317,14 @@ def test_split_lines(spark):
     assert got == {1: [(1, "a"), (2, "b"), (3, ""), (4, "c\r")], 3: [(1, "x")], 5: [(1, "p\rq\r"), (2, "z")]}
 
 
+def test_lines_carry_keys_only(spark):
+    """Rows of lines that carry their whole text grow with its square, in Python's queues on disk too."""
+    df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
+    plan = split_lines(df)._jdf.queryExecution().executedPlan().toString()
+    carried = re.search(r"Generate posexplode\(.*\), \[([^\[\]]*)\], false, \[", plan, re.S).group(1)
+    assert carried.split("#")[0] == "doc_id" and "," not in carried
+
+
 def slow_context(hits, before, after):
     out, last = [], None
     for i, h in enumerate(hits, 1):
