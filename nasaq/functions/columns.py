@@ -158,7 +158,9 @@ def explain_column(text: Column, profile: str = "search", languages: str = "ar")
         rows = [explain(t, profile, languages, None) if t is not None else (None, None) for t in texts]
         return pd.DataFrame({"key": [r[0] for r in rows], "rules": [r[1] for r in rows]})
 
-    return explained(text)
+    # ASCII is its own key and no rule touches it
+    plain = F.struct(text.alias("key"), F.array().cast("array<string>").alias("rules"))
+    return F.when(is_ascii(text), plain).otherwise(explained(F.when(~is_ascii(text), text)))
 
 
 def from_latin_column(text: Column, scheme: str = "buckwalter") -> Column:

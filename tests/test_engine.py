@@ -309,6 +309,23 @@ def lines_df(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, line long, text string")
 
 
+def test_explain_tries_only_rules_that_can_matter(monkeypatch):
+    from nasaq.functions import explain as module
+
+    calls = []
+    monkeypatch.setattr(module, "normalize", lambda p, s: calls.append(s) or normalize(p, s))
+    assert explain("çà et là") == ("ca et la", ["Unicode NFD", "tashkil"]) and len(calls) <= 2
+    rng = random.Random(8)
+    for _ in range(2000):
+        t = "".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 6)))
+        name, langs = rng.choice(list(PROFILES)), rng.choice(("ar", "ar,fa", "fa", "ar,ur"))
+        p = resolve(name, langs)
+        rules = [n for n, f in module._NAMED if getattr(p, f) and normalize(replace(p, **{f: False}), t) != normalize(p, t)]
+        if normalize(replace(p, languages=frozenset()), t) != normalize(p, t):
+            rules.append("language equivalences")
+        assert explain(t, name, langs) == (normalize(p, t), ["Unicode NFD"] * (unicodedata.normalize("NFD", t) != t) + rules)
+
+
 def test_split_lines(spark):
     df = spark.createDataFrame([(1, "a\r\nb\n\nc\r"), (2, ""), (3, "x\n"), (4, None), (5, "p\rq\r\r\nz")], "doc_id long, text string")
     got = {}
