@@ -116,10 +116,13 @@ def n5_key_latin_decomposed(spark, sf_dir):
 def n28_key_reordered(spark, sf_dir):
     """Decomposed letters whose marks are out of canonical order: a key of code points puts them in order, one without marks drops them."""
     text = F.col("text")
-    for c in range(0xC0, 0x180):
-        d = unicodedata.normalize("NFD", chr(c))
-        if len(d) == 2:
-            text = F.replace(text, F.lit(chr(c)), F.lit(d + "\u0323"))
+    for first, last in ((0xC0, 0xFF), (0x100, 0x17F)):  # a block's letters are looked for one by one only where it has any
+        swapped = text
+        for c in range(first, last + 1):
+            d = unicodedata.normalize("NFD", chr(c))
+            if len(d) == 2:
+                swapped = F.replace(swapped, F.lit(chr(c)), F.lit(d + "\u0323"))
+        text = F.when(C.is_ascii(F.col("text")) | ~F.col("text").rlike(f"[{chr(first)}-{chr(last)}]"), text).otherwise(swapped)
     t = _lines(spark, sf_dir).withColumn("text", text)
     return t.select(*DOC, F.col("text").alias("given"), C.key_column(F.col("text"), PROFILES["lucene"]).alias("key"), C.key_column(F.col("text"), P).alias("key_search"))
 

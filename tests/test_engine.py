@@ -326,6 +326,12 @@ def test_explain_tries_only_rules_that_can_matter(monkeypatch):
         assert explain(t, name, langs) == (normalize(p, t), ["Unicode NFD"] * (unicodedata.normalize("NFD", t) != t) + rules)
 
 
+def test_letters_are_swapped_where_there_are_any(spark):
+    from nasaq.plans.queries import n28_key_reordered
+
+    assert "[À-ÿ]" in n28_key_reordered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_split_lines(spark):
     df = spark.createDataFrame([(1, "a\r\nb\n\nc\r"), (2, ""), (3, "x\n"), (4, None), (5, "p\rq\r\r\nz")], "doc_id long, text string")
     got = {}
