@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from . import translit
 from .explain import explain
-from .kernel import fold_table, normalize, normalize_mapped, simple_fold
+from .kernel import fold_table, key_fold, normalize, normalize_mapped, simple_fold
 from .profile import Profile
 
 
@@ -53,23 +53,52 @@ def _tiered_class(points: list[int]) -> str:
 SAFE_RANGES, SAFE_LENGTH = 4, 16
 
 
-@lru_cache(64)
-def native_plan(p: Profile) -> tuple[str, str, str]:
-    """(guard, from, to): texts without a match of the guard have the key translate(text, from, to).
+def _guard_class(guard: frozenset[int]) -> str:
+    """The class of a guard, which has many ranges.
 
-    The guard has many ranges; most characters are told by the few long ones
-    that hold none of it, which the class asks for first.
+    Of few ranges among letters those are asked for, and the rest only of points
+    behind them; else the few long ranges that hold none of it are asked for first.
     """
-    guard, fold = simple_fold(p)
-    keep = [c for c, v in fold.items() if v is not None]
-    gone = [c for c, v in fold.items() if v is None]
     runs, a = [], 0
-    for c in sorted(x for x in guard if x < 0x700) + [0x700]:
+    low = sorted(x for x in guard if x < 0x700)
+    if sum(c - 1 not in guard for c in low) <= SAFE_RANGES:
+        return f"[{_class(low)[1:-1]}[[\\x{{700}}-\\x{{10FFFF}}]&&{_tiered_class(sorted(guard - set(low)))}]]"
+    for c in [*low, 0x700]:
         if c - a >= SAFE_LENGTH:
             runs.append((a, c - 1))
         a = c + 1
     safe = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in sorted(runs, key=lambda r: r[0] - r[1])[:SAFE_RANGES])
-    return f"[[^{safe}]&&{_tiered_class(sorted(guard))}]", "".join(map(chr, keep + gone)), "".join(fold[c] for c in keep)
+    return f"[[^{safe}]&&{_tiered_class(sorted(guard))}]"
+
+
+@lru_cache(64)
+def native_plan(p: Profile) -> tuple[str, str, str]:
+    """(guard, from, to): texts without a match of the guard have the key translate(text, from, to)."""
+    guard, fold = simple_fold(p)
+    keep = [c for c, v in fold.items() if v is not None]
+    gone = [c for c, v in fold.items() if v is None]
+    return _guard_class(guard), "".join(map(chr, keep + gone)), "".join(fold[c] for c in keep)
+
+
+#: Most code points that become several, each a ``replace``; texts with any other go to the kernel.
+MAX_REPLACED = 24
+
+
+@lru_cache(64)
+def key_plan(p: Profile) -> tuple[str, str, str, tuple[tuple[str, str], ...]]:
+    """(guard, from, to, replaced): as ``native_plan`` for whole keys, with code points that are then replaced by several."""
+    guard, fold, kept = key_fold(p)
+    many = {c: v for c, v in fold.items() if len(v) > 1}
+    if len(many) > MAX_REPLACED:  # letters and the ligatures of lam and alef are met, other ligatures hardly ever
+        many = {c: v for c, v in many.items() if c < 0x700 or 0xFEF5 <= c <= 0xFEFC}
+    guard = guard | {c for c, v in fold.items() if len(v) > 1 and c not in many}
+    keep = [c for c, v in fold.items() if len(v) == 1]
+    gone = [c for c, v in fold.items() if not v]
+    pattern = _guard_class(guard)
+    for i, low in enumerate(kept):
+        for high in kept[i + 1 :]:
+            pattern += f"|{_class(list(high))}{_tiered_class(sorted(gone))}*+{_class(list(low))}"
+    return pattern, "".join(map(chr, keep + gone)), "".join(fold[c] for c in keep), tuple((chr(c), v) for c, v in many.items())
 
 
 @lru_cache(64)
@@ -128,13 +157,16 @@ def key_column(text: Column, p: Profile, mode: str = "auto") -> Column:
     """
     if mode == "udf":
         return _normalize_udf(p)(text)
-    _, a, b = native_plan(p)
-    hard = needs_kernel(text, p)
+    guard, a, b, replaced = key_plan(p)
+    hard = ~is_ascii(text) & text.rlike(guard)
+    plain = F.translate(text, a, b)
+    for c, key in replaced:
+        plain = F.replace(plain, F.lit(c), F.lit(key))
     if mode == "native":
         kernel = F.raise_error(F.lit("a text needs full decomposition; use mode='auto'"))
-    else:
-        kernel = _normalize_udf(p)(F.when(hard, text))
-    return F.when(is_ascii(text), text).when(hard, kernel).otherwise(F.translate(text, a, b))
+        return F.when(is_ascii(text), text).when(hard, kernel).otherwise(plain)
+    # the kernel has a key of hard texts and NULL of all others: the guard is asked once
+    return F.when(is_ascii(text), text).otherwise(F.coalesce(_normalize_udf(p)(F.when(hard, text)), plain))
 
 
 def mapped_key_column(text: Column, p: Profile) -> Column:

@@ -309,6 +309,30 @@ def lines_df(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, line long, text string")
 
 
+def without_kernel():
+    one = lambda *o: resolve("search", "ar", o)
+    return {"n9": PROFILES["strict"], "n17": one("keep_hamza"), "n19": one("keep_quranic_marks"), "n2": P}
+
+
+@pytest.mark.parametrize("name", sorted(without_kernel()))
+def test_common_arabic_keys_need_no_kernel(spark, name):
+    p = without_kernel()[name]
+    rows = ["اَلْعَرَبِيَّةُ", "آأإٱ مسؤول فئة ىٰ", "رُۖۥب\u200c\u200dن\u200f", "ﻻ يوجد ﻛﺘﺎﺏ" if p.presentation and name != "n19" else "لا", "café"]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    assert [r[0] for r in df.select(columns.key_column(F.col("text"), p, "native")).collect()] == [normalize(p, x) for x in rows]
+
+
+def test_keys_are_exact_where_marks_stay_or_move(spark):
+    rng = random.Random(7)
+    letters = "اويىٱةكنرلآأؤإئۀۂۓۣۭ۪ۖۗۚۛۥٌِٰٕٓٔـﻻﻵﺁﺉﹰﹷ ẹ́́각"
+    rows = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    ps = [*without_kernel().values(), *PROFILES.values(), resolve("strict", "fa,ur", ("rasm", "keep_quranic_marks")), resolve("search", "ar,fa", ("keep_presentation_forms", "keep_quranic_marks"))]
+    got = df.select("text", *(columns.key_column(F.col("text"), p).alias(f"k{i}") for i, p in enumerate(ps))).collect()
+    for r in got:
+        assert list(r[1:]) == [normalize(p, r.text) for p in ps], ascii(r.text)
+
+
 def test_explain_tries_only_rules_that_can_matter(monkeypatch):
     from nasaq.functions import explain as module
 
